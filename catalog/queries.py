@@ -187,18 +187,18 @@ def stale_versions(spark, sf):
 
 
 def index_build(spark, sf):
-    """A full run over the documents as files: the rows of the stored index."""
+    """A full run over the documents as files: the stored index."""
     files = fx.doc_files(spark, sf)
     kept = project.text_files(project.keep_wanted(
         files.select("path", F.col("content").cast("binary").alias("content"), F.col("mtime").cast("timestamp").alias("mtime")), F.col("path")
     ))
     indexer = Indexer(spark, scratch_dir(spark))
     indexer.index_full(kept)
-    return indexer.store.index()
+    return indexer.store
 
 
 def index_full(spark, sf):
-    return rounded(index_build(spark, sf).select("chunk_id", "path", "space", "model", "end_line", "tokens", "norm"), "norm")
+    return rounded(index_build(spark, sf).vectors().select("chunk_id", "path", "space", "model", "end_line", "tokens", "norm"), "norm")
 
 
 # --- search ----------------------------------------------------------------
@@ -258,7 +258,7 @@ def rerank_lexical(spark, sf):
 
 
 def semantic_dedup(spark, sf):
-    return dedup.near_duplicates(fx.doc_vectors(spark, sf), NEAR_EQUAL)
+    return dedup.near_duplicates(materialize(fx.doc_vectors(spark, sf).drop("text"), "vectors"), NEAR_EQUAL)
 
 
 # --- context ---------------------------------------------------------------
@@ -296,8 +296,7 @@ def stream_events(spark, sf):
 
 def document_search(spark, sf):
     """Searcher over the documents as files, built from scratch."""
-    index = materialize(index_build(spark, sf), "index")
-    return Searcher(index)
+    return Searcher.of(index_build(spark, sf))
 
 
 def context_for_text(spark, sf):
@@ -418,7 +417,7 @@ def watch_incremental(spark, sf):
         versions.write.mode("append").parquet(drop)
         stream = spark.readStream.schema(versions.schema).parquet(drop)
         jobs.watch_files(stream, indexer, checkpoint, once=True).awaitTermination()
-    return indexer.store.index().select("path", "space", "end_line", F.md5("text").alias("text_md5"), "tokens", "mtime")
+    return indexer.store.chunks().select("path", "space", "end_line", F.md5("text").alias("text_md5"), "tokens", "mtime")
 
 
 QUERIES = [

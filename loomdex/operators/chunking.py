@@ -12,14 +12,22 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomdex.functions import paths
 from loomdex.functions.constants import CODE_MODEL, CODE_SUFFIXES, LANGUAGE_OF_SUFFIX, TEXT_MODEL
 from loomdex.functions.text import chunk_id, count_tokens, let, slice_lines, split_lines
 from loomdex.operators.running import running
-from loomdex.schemas import SPAN
 
-SPANS = f"struct<spans:array<{SPAN}>,error:string>"
+SPAN = T.StructType(
+    [
+        T.StructField("type", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("start_line", T.IntegerType()),
+        T.StructField("end_line", T.IntegerType()),
+    ]
+)
+SPANS = T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("error", T.StringType())])
 
 
 # --- Python ---------------------------------------------------------------
@@ -54,6 +62,7 @@ LINE_NOISE = r"""//.*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
 GO_EMPTY_TYPE = re.compile(r"\b(?:interface|struct)\s*\{\s*\}")
 AT_STATEMENT = r"(?:^|(?<=[;{}]))[ \t]*(?:export\s+)?(?:default\s+)?"
 NOT_A_NAME = r"(?!(?:if|for|while|switch|catch|with|return|function|new|do|else|try|throw|await|typeof|super|synchronized)\b)"
+NOT_A_MODIFIER = r"(?!(?:public|protected|private|static|final|abstract|native|strictfp|default)\b)"
 JAVA_MODIFIERS = (
     r"(?:@[\w.]+(?:\([^()]*\))?\s+)*"
     r"(?:(?:public|protected|private|static|final|abstract|native|synchronized|strictfp|default)\s+)*"
@@ -81,7 +90,7 @@ HEADERS = {
         (
             "method_declaration",
             r"(?:^|(?<=[;{}]))[ \t]*(?P<at>" + JAVA_MODIFIERS + r"(?:<[^(){};]*>\s*)?"
-            + NOT_A_NAME
+            + NOT_A_NAME + NOT_A_MODIFIER
             + r"[\w.]+(?:<[^(){};]*>)?(?:\[\])*\s+(?P<name>\w+)\s*\([^(){};]*\)\s*(?:throws[\s\w.,]+)?(?=[{;]))",
         ),
     ],
@@ -130,14 +139,12 @@ def body_from(text: str, match) -> int:
 @F.pandas_udf(SPANS)
 def find_spans(content: pd.Series, language: pd.Series) -> pd.DataFrame:
     """Spans per file; null content (no known language) costs nothing."""
-    names = ("type", "name", "start_line", "end_line")
-
     def one(source, lang):
         if source is None:
             return [], None
         try:
             spans = python_spans(source) if lang == "python" else brace_spans(source, lang)
-            return [dict(zip(names, span)) for span in spans], None
+            return [dict(zip(SPAN.names, span)) for span in spans], None
         except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
             return [], f"{type(error).__name__}: {error}"
 

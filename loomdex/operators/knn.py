@@ -45,7 +45,7 @@ class QueryBlock:
 
     @classmethod
     def of(cls, table: pa.Table) -> QueryBlock:
-        rows = table.combine_chunks()
+        rows = table.filter(pc.is_valid(table["embedding"])).combine_chunks()
         codes, ids = pd.factorize(rows["query_id"].to_pandas())
         k = np.zeros(len(ids), dtype=np.int64)
         np.maximum.at(k, codes, rows["k"].to_numpy())
@@ -120,6 +120,8 @@ class BestSoFar:
 
     def scan(self, batch) -> None:
         """Offer all rows of one Arrow batch or table with chunk_id, scope, embedding."""
+        if batch["embedding"].null_count:
+            batch = batch.filter(pc.is_valid(batch["embedding"]))
         ids = batch["chunk_id"].to_pandas()
         scopes = batch["scope"].to_pandas()
         widths = pc.list_value_length(batch["embedding"]).to_numpy(zero_copy_only=False)
@@ -194,7 +196,7 @@ def query_rows(queries: DataFrame, k: int, extra: int) -> DataFrame:
     """Fill in the optional columns ``k``, ``scopes`` (null = all) and ``where`` (JSON)."""
     have = set(queries.columns)
     k_column = F.coalesce(F.col("k"), F.lit(k)) if "k" in have else F.lit(k)
-    return queries.where("embedding is not null").select(
+    return queries.select(
         "query_id",
         "embedding",
         (k_column + extra).cast("int").alias("k"),
@@ -204,13 +206,11 @@ def query_rows(queries: DataFrame, k: int, extra: int) -> DataFrame:
 
 
 def collect_if_small(rows: DataFrame) -> pa.Table | None:
-    """All rows if their measured size stays within the broadcast bound, else None."""
-    size = rows.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(4 * F.size("embedding") + 64), F.lit(0)).alias("bytes")
-    ).first()
-    if size["n"] > MAX_BROADCAST_QUERIES or size["bytes"] > MAX_BROADCAST_BYTES:
+    """All rows if they are few and small enough to broadcast, else None."""
+    if rows.count() > MAX_BROADCAST_QUERIES:
         return None
-    return rows.toArrow()
+    table = rows.toArrow()
+    return table if table.nbytes <= MAX_BROADCAST_BYTES else None
 
 
 def scan_with_broadcast(vectors: DataFrame, table: pa.Table, per_scope: bool, schema: str) -> DataFrame:
@@ -269,7 +269,7 @@ def nearest(
     and its own filter. Ranks are per query, or per query and scope.
     """
     rows = query_rows(queries, k, 1 if exclude_self else 0)
-    wanted = metadata_filter(index, where).where("embedding is not null")
+    wanted = metadata_filter(index, where)
     carried = [c for c in FILTER_COLUMNS if c in index.columns and "where" in queries.columns]
     vectors = wanted.select("chunk_id", F.col(scope).cast("string").alias("scope"), "embedding", *carried)
     types = {f.name: f.dataType.simpleString() for f in [*rows.schema, *vectors.schema]}
