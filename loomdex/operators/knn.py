@@ -169,7 +169,7 @@ class BestSoFar:
     def result(self, chunk_type) -> pa.RecordBatch:
         rows = self.rows
         if rows is None:
-            rows = pd.DataFrame({"q": [], "chunk_id": [], "scope": [], "distance": []})
+            rows = pd.DataFrame(columns=["q", "chunk_id", "scope", "distance"], dtype=object)
         q = rows["q"].to_numpy(dtype=np.int64)
         return pa.RecordBatch.from_arrays(
             [
