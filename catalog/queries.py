@@ -111,7 +111,8 @@ def chunk_ids(spark, sf):
 
 
 def outermost_chunks(spark, sf):
-    return chunking.outermost(chunking.chunk_files(fx.brace_sources(spark, sf))).select("path", "type", "name", "start_line", "end_line")
+    chunks = chunking.chunk_files(fx.brace_sources(spark, sf)).drop("text")
+    return chunking.outermost(materialize(chunks, "chunks")).select("path", "type", "name", "start_line", "end_line")
 
 
 # --- index upkeep ----------------------------------------------------------
@@ -252,7 +253,7 @@ def hashed_queries(spark, sf):
 
 def rerank_lexical(spark, sf):
     docs = fx.doc_vectors(spark, sf)
-    candidates = knn.nearest(docs, hashed_queries(spark, sf), k=20)
+    candidates = materialize(knn.nearest(docs, hashed_queries(spark, sf), k=20), "candidates")
     best = ranking.rerank(candidates.drop("scope"), docs, fx.text_queries(spark, sf), 5)
     return wide_ranks(rounded(best, "distance", "score")).select("query_id", "chunk_id", "distance", "first_rank", "score", "rank")
 

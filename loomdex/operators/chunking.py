@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,11 +117,16 @@ def brace_spans(source: str, language: str):
     for kind, header in HEADERS[language]:
         for match in re.finditer(header, text, re.M):
             found.setdefault(match.start("at"), (kind, match))
+    newlines = [m.start() for m in re.finditer("\n", text)]
+
+    def line(position):
+        return bisect_left(newlines, position) + 1
+
     spans = []
     for start, (kind, match) in sorted(found.items()):
         body = re.compile(r"[{;]" if language == "java" else r"\{").search(text, body_from(text, match))
         end = len(text) - 1 if body is None else closing.get(body.start(), body.start())
-        spans.append((kind, match["name"], text.count("\n", 0, start) + 1, text.count("\n", 0, end) + 1))
+        spans.append((kind, match["name"], line(start), line(end)))
     return spans
 
 

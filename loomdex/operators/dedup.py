@@ -23,6 +23,7 @@ from loomdex.operators.knn import CELLS_AT_ONCE, SLACK, as_matrix, exact_cosines
 from loomdex.session import materialize
 
 ROWS_PER_BLOCK = 8192
+VECTORS_PER_CELL = 2048
 
 
 def representatives(chunks: DataFrame) -> DataFrame:
@@ -115,15 +116,17 @@ def smallest_partner(visits: DataFrame, threshold: float) -> DataFrame:
     return pairs.groupBy("chunk_id").agg(F.min("duplicate_of").alias("duplicate_of"))
 
 
-def near_duplicates(chunks: DataFrame, threshold: float, cells: int = 64) -> DataFrame:
+def near_duplicates(chunks: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
     """``chunk_id, duplicate_of`` of every chunk that a smaller near-equal id makes redundant.
 
     Near-equal: same space and cosine >= ``threshold``. Zero vectors equal nothing.
+    ``cells`` grows with the number of distinct vectors unless given.
     """
     rows = chunks.select("chunk_id", "space", "embedding").where(
         F.exists("embedding", lambda v: v != 0)
     )
     reps = materialize(representatives(rows), "representatives")
+    cells = cells or max(1, min(MAX_CENTRES, reps.count() // VECTORS_PER_CELL))
     partner = smallest_partner(cell_visits(reps, sampled_centres(reps, cells), threshold), threshold)
     resolved = reps.join(partner, "chunk_id", "left").select(
         "space", "embedding", F.least("chunk_id", "duplicate_of").alias("duplicate_of")
@@ -135,5 +138,5 @@ def near_duplicates(chunks: DataFrame, threshold: float, cells: int = 64) -> Dat
     )
 
 
-def drop_near_duplicates(chunks: DataFrame, threshold: float, cells: int = 64) -> DataFrame:
+def drop_near_duplicates(chunks: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
     return chunks.join(near_duplicates(chunks, threshold, cells).select("chunk_id"), "chunk_id", "left_anti")

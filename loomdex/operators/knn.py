@@ -25,7 +25,7 @@ from loomdex.operators.filters import compile_filter, metadata_filter
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_BYTES = 128 << 20
 QUERIES_PER_BLOCK = 4096
-VECTORS_PER_BLOCK = 65536
+VECTORS_PER_BLOCK = 32768
 CELLS_AT_ONCE = 4 << 20  # similarities held at one time
 EXACT_AT_ONCE = 1 << 16  # pairs recomputed at one time
 SLACK = 1e-9  # matrix products differ in the last bits from the exact distance

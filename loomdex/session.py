@@ -19,6 +19,8 @@ def build_session(app="loomdex", master=None, **conf) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),  # long files make heavy rows
+        "spark.sql.parquet.pushdown.inFilterThreshold": "500",  # ids of hits reach the Bloom filters
         **conf,
     }
     for key, value in settings.items():
