@@ -87,22 +87,26 @@ def broken_py_sources(spark, sf) -> DataFrame:
     )
 
 
-def vector_chunks(spark, sf) -> DataFrame:
-    """Embeddings as an index, with the document of the same id as text."""
+def bare_vectors(spark, sf) -> DataFrame:
+    """Embeddings as an index without texts."""
     label = F.col("label")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"),
+        F.when(F.col("vec_id") % 2 == 1, "text").otherwise("code").alias("space"),
+        F.when(label <= 4, "function").when(label <= 7, "class").otherwise("file").alias("kind"),
+        F.concat(F.lit("c_"), F.col("vec_id").cast("string")).alias("name"),
+        (F.col("vec_id") + 1).cast("int").alias("start_line"),
+        (F.col("vec_id") + 10).cast("int").alias("end_line"),
+        "label",
+        "embedding",
+    )
+
+
+def vector_chunks(spark, sf) -> DataFrame:
+    """The same index with the document of the same id as text."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return (
-        table(spark, sf, "embeddings")
-        .select(
-            F.col("vec_id").alias("chunk_id"),
-            F.when(F.col("vec_id") % 2 == 1, "text").otherwise("code").alias("space"),
-            F.when(label <= 4, "function").when(label <= 7, "class").otherwise("file").alias("kind"),
-            F.concat(F.lit("c_"), F.col("vec_id").cast("string")).alias("name"),
-            (F.col("vec_id") + 1).cast("int").alias("start_line"),
-            (F.col("vec_id") + 10).cast("int").alias("end_line"),
-            "label",
-            "embedding",
-        )
+        bare_vectors(spark, sf)
         .join(docs, "chunk_id", "left")
         .withColumn("type", F.col("kind"))
         .withColumn("path", F.concat(F.lit("v/"), "name", F.lit(".py")))
@@ -110,11 +114,6 @@ def vector_chunks(spark, sf) -> DataFrame:
     )
 
 
-def bare_vectors(spark, sf) -> DataFrame:
-    """The same index without texts (no join)."""
-    return vector_chunks(spark, sf).select("chunk_id", "space", "kind", "label", "embedding")
-
-
 def vector_queries(spark, sf) -> DataFrame:
     """Every vector is a query too; its own row is left out of its hits."""
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,7 +103,7 @@ def blank(match):
     return re.sub(r"[^\n]", " ", match.group())
 
 
-def brace_spans(source: str, language: str):
+def brace_spans(source: str, language: str, headers: dict = HEADERS):
     """Declarations of ``language`` in source order, ends found by matching braces."""
     text = NOISE.sub(blank, source.replace("\r\n", "\n").replace("\r", "\n"))
     if language == "go":
@@ -114,7 +115,7 @@ def brace_spans(source: str, language: str):
         elif open_at:
             closing[open_at.pop()] = brace.start()
     found = {}
-    for kind, header in HEADERS[language]:
+    for kind, header in headers[language]:
         for match in re.finditer(header, text, re.M):
             found.setdefault(match.start("at"), (kind, match))
     newlines = [m.start() for m in re.finditer("\n", text)]
@@ -142,24 +143,45 @@ def body_from(text: str, match) -> int:
 # --- the job --------------------------------------------------------------
 
 
-@F.pandas_udf(SPANS)
-def find_spans(content: pd.Series, language: pd.Series) -> pd.DataFrame:
-    """Spans per file; null content (no known language) costs nothing."""
+@dataclass(frozen=True)
+class Languages:
+    """What can be split: suffix to language, and the declaration headers of each language.
+
+    A header is (node type, regex with groups ``at`` for its start and ``name``).
+    """
+
+    of_suffix: dict
+    headers: dict
+
+    def having(self, suffix: str, language: str, headers: list) -> Languages:
+        """These languages and one more."""
+        return Languages({**self.of_suffix, suffix: language}, {**self.headers, language: headers})
+
+
+BUILT_IN = Languages(LANGUAGE_OF_SUFFIX, HEADERS)
+
+
+def span_finder(headers: dict):
+    """Pandas UDF (content, language) to spans; null content costs nothing."""
+
     def one(source, lang):
         if source is None:
             return [], None
         try:
-            spans = python_spans(source) if lang == "python" else brace_spans(source, lang)
+            spans = python_spans(source) if lang == "python" else brace_spans(source, lang, headers)
             return [dict(zip(SPAN.names, span)) for span in spans], None
         except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
             return [], f"{type(error).__name__}: {error}"
 
-    return pd.DataFrame([one(s, l) for s, l in zip(content, language)], columns=["spans", "error"])
+    def find_spans(content: pd.Series, language: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(s, l) for s, l in zip(content, language)], columns=["spans", "error"])
+
+    return F.pandas_udf(find_spans, SPANS)
 
 
-def language(path: Column) -> Column:
+def language(path: Column, languages: Languages = BUILT_IN) -> Column:
     """Language whose declarations can be split, else null; '.py' must match in case."""
-    lookup = F.create_map(*[F.lit(v) for pair in LANGUAGE_OF_SUFFIX.items() for v in pair])
+    lookup = F.create_map(*[F.lit(v) for pair in languages.of_suffix.items() for v in pair])
     suffix = paths.suffix(path)
     return F.when(suffix == ".py", "python").otherwise(F.try_element_at(lookup, F.lower(suffix)))
 
@@ -183,17 +205,17 @@ def kind(type: Column) -> Column:
     )
 
 
-def with_spans(files: DataFrame) -> DataFrame:
+def with_spans(files: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
     """Add ``lang``, ``spans`` and the parser's ``error``."""
-    lang = language(F.col("path"))
+    find_spans = span_finder(languages.headers)
     return (
-        files.withColumn("lang", lang)
+        files.withColumn("lang", language(F.col("path"), languages))
         .withColumn("_found", find_spans(F.when(F.col("lang").isNotNull(), F.col("content")), F.col("lang")))
         .select(*files.columns, "lang", "_found.spans", "_found.error")
     )
 
 
-def chunk_files(files: DataFrame, count_tokens=count_tokens) -> DataFrame:
+def chunk_files(files: DataFrame, count_tokens=count_tokens, languages: Languages = BUILT_IN) -> DataFrame:
     """All chunks of ``files(path, content, ...)``, other columns carried along."""
     carried = [c for c in files.columns if c not in ("path", "content")]
     type_, name, start, end, text = "type", "name", "start_line", "end_line", "text"
@@ -227,7 +249,7 @@ def chunk_files(files: DataFrame, count_tokens=count_tokens) -> DataFrame:
     )
     model_ = model(F.col("path"))
     return (
-        with_spans(files)
+        with_spans(files, languages)
         .select("path", "lang", *carried, F.explode(chunks).alias("c"))
         .select("path", "lang", *carried, "c.*")
         .select(

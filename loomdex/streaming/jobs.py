@@ -10,6 +10,7 @@ from loomdex.functions.constants import REQUESTS_PER_MINUTE
 from loomdex.operators.logs import request_rate, signal_counts
 from loomdex.plans.indexer import Indexer, newest_versions
 from loomdex.plans.searcher import Searcher
+from loomdex.sources.requests import number_lines
 
 
 def _start(stream: DataFrame, work, checkpoint: str, once: bool) -> StreamingQuery:
@@ -31,12 +32,14 @@ def watch_files(versions: DataFrame, indexer: Indexer, checkpoint: str, once: bo
 
 
 def answer_requests(lines: DataFrame, searcher: Searcher, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Answer a stream of request lines ``line_no, value`` into ``out/batch=N``.
+    """Answer a stream of request lines ``[line_no,] value`` into ``out/batch=N``.
 
     A replayed batch overwrites its own folder.
     """
 
     def work(batch, number):
+        if "line_no" not in batch.columns:
+            batch = number_lines(batch)
         searcher.replies(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _start(lines, work, checkpoint, once)

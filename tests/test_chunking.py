@@ -162,6 +162,16 @@ def test_java(spark):
     ]
 
 
+def test_added_language(spark):
+    rust = [("function_item", r"^[ \t]*(?P<at>(?:pub\s+)?fn\s+(?P<name>\w+))")]
+    languages = chunking.BUILT_IN.having(".rs", "rust", rust)
+    files = spark.createDataFrame([("m.rs", "pub fn go() {\n}\nfn other() { }\n")], "path string, content string")
+    rows = chunking.chunk_files(files, languages=languages).orderBy("start_line").collect()
+    assert [(r["lang"], r["type"], r["kind"], r["name"], r["end_line"]) for r in rows] == [
+        ("rust", "function_item", "function", "go", 2), ("rust", "function_item", "function", "other", 3)
+    ]
+
+
 def test_parse_errors_reported_or_raised(spark):
     files = spark.createDataFrame([("ok.py", "x = 1"), ("bad.py", "def (")], "path string, content string")
     assert [r["path"] for r in chunking.parse_failures(files).collect()] == ["bad.py"]
