@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex.operators.ann import MAX_CENTRES, sampled_centres
-from loomdex.operators.knn import CELLS_AT_ONCE, SLACK, as_matrix, exact_cosines, norms_of, unit
+from loomdex.operators.knn import CELLS_AT_ONCE, as_matrix, exact_cosines, norms_of, slack, unit
 from loomdex.session import materialize
 
 ROWS_PER_BLOCK = 8192
-VECTORS_PER_CELL = 2048
+VECTORS_PER_CELL = 4096
 
 
 def representatives(chunks: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def cell_visits(reps: DataFrame, centres: DataFrame, threshold: float) -> DataFr
     """Rows ``cell, home, chunk_id, space, embedding``: once at home, once per cell to visit."""
     table = centres.orderBy("cell").limit(MAX_CENTRES).toArrow()
     matrix = as_matrix(table["embedding"], len(table["embedding"][0]))
-    points = unit(matrix, norms_of(matrix))
+    points = unit(matrix, norms_of(matrix)).astype(np.float64)
     gaps = np.sqrt(np.maximum(2.0 - 2.0 * points @ points.T, 0.0))
     shared = reps.sparkSession.sparkContext.broadcast((points, gaps))
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
@@ -45,11 +45,11 @@ def cell_visits(reps: DataFrame, centres: DataFrame, threshold: float) -> DataFr
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 vectors = as_matrix(batch["embedding"], points.shape[1])
-                x = unit(vectors, norms_of(vectors))
+                x = unit(vectors, norms_of(vectors)).astype(np.float64)
                 squares = 1.0 + (x * x).sum(axis=1)[:, None] - 2.0 * x @ points.T
                 home = squares.argmin(axis=1)
                 lead = squares - squares[np.arange(len(x)), home][:, None]
-                r, c = np.nonzero(lead <= 2.0 * radius * gaps[home] + SLACK)
+                r, c = np.nonzero(lead <= 2.0 * radius * gaps[home] + 1e-5)
                 rows = np.concatenate([np.arange(len(x)), r])
                 visits = batch.take(pa.array(rows))
                 yield visits.append_column("cell", pa.array(np.concatenate([home, c]), pa.int32())).append_column(
@@ -95,19 +95,20 @@ def smallest_partner(visits: DataFrame, threshold: float) -> DataFrame:
             ua, ub = unit(a, na), unit(b, nb)
             step = max(1, CELLS_AT_ONCE // len(a))
             for i in range(0, len(b), step):
-                near = ub[i : i + step] @ ua.T >= threshold - SLACK
+                near = ub[i : i + step] @ ua.T >= np.float32(threshold - slack(width))
                 near &= a_order[None, :] < b_order[i : i + step, None]
-                # the first near home vector that also passes the exact test
-                for row in np.flatnonzero(near.any(axis=1)):
-                    at = np.flatnonzero(near[row])
-                    for s in range(0, len(at), 64):
-                        some = at[s : s + 64]
-                        cosine = exact_cosines(a[some], np.broadcast_to(b[i + row], (len(some), width)), na[some], np.full(len(some), nb[i + row]))
-                        hit = np.flatnonzero(cosine >= threshold)
-                        if len(hit):
-                            found.append((b_ids[i + row], a_ids[some[hit[0]]]))
-                            break
-        return pa.Table.from_pandas(pd.DataFrame(found, columns=["chunk_id", "duplicate_of"]), schema, preserve_index=False)
+                # per guest, the first near home vector that also passes the exact test
+                rows = np.flatnonzero(near.any(axis=1))
+                while len(rows):
+                    first = near[rows].argmax(axis=1)
+                    cosine = exact_cosines(a[first], b[i + rows], na[first], nb[i + rows])
+                    hit = cosine >= threshold
+                    found.append(pd.DataFrame({"chunk_id": b_ids[i + rows[hit]], "duplicate_of": a_ids[first[hit]]}))
+                    near[rows, first] = False
+                    rows = rows[~hit]
+                    rows = rows[near[rows].any(axis=1)]
+        found = pd.concat(found) if found else pd.DataFrame(columns=["chunk_id", "duplicate_of"], dtype=object)
+        return pa.Table.from_pandas(found, schema, preserve_index=False)
 
     homes, guests = homes.toDF(*homes.columns), guests.toDF(*guests.columns)
     pairs = homes.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInArrow(

@@ -24,11 +24,10 @@ from loomdex.operators.filters import compile_filter, metadata_filter
 
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_BYTES = 128 << 20
-QUERIES_PER_BLOCK = 4096
+QUERIES_PER_BLOCK = 16384
 VECTORS_PER_BLOCK = 32768
 CELLS_AT_ONCE = 4 << 20  # similarities held at one time
 EXACT_AT_ONCE = 1 << 16  # pairs recomputed at one time
-SLACK = 1e-9  # matrix products differ in the last bits from the exact distance
 FILTER_COLUMNS = ("path", "type", "kind", "name", "lang", "start_line", "end_line")
 
 
@@ -80,7 +79,13 @@ def norms_of(matrix: np.ndarray) -> np.ndarray:
 
 
 def unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    return matrix / np.where(norms == 0, 1.0, norms)[:, None]
+    """Unit vectors in single precision, for matrix products that only preselect."""
+    return (matrix / np.where(norms == 0, 1.0, norms)[:, None]).astype(np.float32)
+
+
+def slack(width: int) -> float:
+    """Twice the most a product of two such vectors can be off the exact cosine."""
+    return (width + 8) * 2.0**-23
 
 
 def exact_cosines(a, b, norm_a, norm_b) -> np.ndarray:
@@ -154,7 +159,7 @@ class BestSoFar:
             most = int(self.block.k[owner].max())
             if len(open_) and len(rows) > most:
                 needed[open_] = np.partition(sims[:, open_], len(rows) - most, axis=0)[len(rows) - most]
-            r, q = np.nonzero(sims >= needed - SLACK)
+            r, q = np.nonzero(sims >= (needed - slack(width)).astype(np.float32))
             if len(r):
                 distance = np.concatenate(
                     [
