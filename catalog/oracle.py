@@ -209,7 +209,12 @@ SELECT path, type, kind, name, start_line, end_line, md5(text) AS text_md5, toke
     "brace_depth": f"""SELECT 'src/js/' || file || '.js' AS path, 6 * i - 5 + o AS line_no, [1, 2, 2, 1, 1, 0][o + 1]::BIGINT AS depth
 FROM {PARTS} CROSS JOIN (SELECT unnest(range(6)) AS o)
 UNION ALL SELECT 'src/jsc/' || file || '.js', 5 * i - 4 + o, [1, 2, 2, 1, 0][o + 1]::BIGINT
-FROM {SUPPLIERS} CROSS JOIN (SELECT unnest(range(5)) AS o)""",
+FROM {SUPPLIERS} CROSS JOIN (SELECT unnest(range(5)) AS o)
+UNION ALL SELECT 'src/go/' || file || '.go', 3 * i + o, [1, 1, 0][o + 1]::BIGINT FROM {PARTS} CROSS JOIN (SELECT unnest(range(3)) AS o)
+UNION ALL SELECT DISTINCT 'src/go/' || file || '.go', unnest([1, 2]), 0 FROM {PARTS}
+UNION ALL SELECT 'src/java/' || file || '.java', 3 * i - 1 + o, [2, 2, 1][o + 1]::BIGINT FROM {PARTS} CROSS JOIN (SELECT unnest(range(3)) AS o)
+UNION ALL SELECT DISTINCT 'src/java/' || file || '.java', 1, 1 FROM {PARTS}
+UNION ALL SELECT DISTINCT 'src/java/' || file || '.java', 3 * total + 2, 0 FROM {PARTS}""",
     "chunk_ids": f"SELECT path, name, sha256(concat_ws('|', path, type, name, start_line, text)) AS chunk_id FROM ({PY_CHUNKS})",
     "outermost_chunks": f"""WITH c AS ({BRACE_CHUNKS})
 SELECT path, type, name, start_line, end_line FROM c b WHERE NOT EXISTS (

@@ -101,7 +101,7 @@ def brace_chunks(spark, sf):
 
 
 def brace_depth(spark, sf):
-    return chunking.brace_depth(fx.brace_sources(spark, sf).where(F.col("path").endswith(".js"))).select(
+    return chunking.brace_depth(materialize(fx.brace_sources(spark, sf), "sources")).select(
         "path", F.col("line_no").cast("bigint").alias("line_no"), "depth"
     )
 

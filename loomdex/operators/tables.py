@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomdex.operators.running import running
 
+ROWS_PER_BLOCK = 1 << 20
+
 
 def latest(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """One row per key, the one with the greatest ``version`` columns.
@@ -64,14 +66,16 @@ def index_counts(index: DataFrame) -> DataFrame:
     )
 
 
-def fixed_batches(rows: DataFrame, key: str, id: str, size: int, fan_out: int = 4096) -> DataFrame:
+def fixed_batches(rows: DataFrame, key: str, id: str, size: int, fan_out: int | None = None) -> DataFrame:
     """Number the rows of each key and cut them into batches of ``size``.
 
     Rows go in the order of a hash of their id, which spreads one huge key over
-    ``fan_out`` blocks. Adds ``row_no`` (from 0) and ``batch_no``.
+    ``fan_out`` blocks (grows with the rows unless given). Adds ``row_no``
+    (from 0) and ``batch_no``.
     """
+    fan_out = fan_out or 1 + rows.count() // ROWS_PER_BLOCK
     digest = F.md5(F.col(id).cast("string"))
-    block = F.pmod(F.conv(F.substring("_digest", 1, 4), 16, 10).cast("long") * fan_out / 65536, F.lit(fan_out)).cast("int")
+    block = F.pmod(F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * fan_out / 2**32), F.lit(fan_out))
     numbered = running(
         rows.withColumn("_digest", digest), [key], block, ["_digest", id], F.lit(1).cast("long"),
         "sum", "row_no", include_row=False,

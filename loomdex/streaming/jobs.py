@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,16 +33,18 @@ def watch_files(versions: DataFrame, indexer: Indexer, checkpoint: str, once: bo
     return _start(versions, work, checkpoint, once)
 
 
-def answer_requests(lines: DataFrame, searcher: Searcher, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def answer_requests(lines: DataFrame, searcher: Searcher | Callable[[], Searcher], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Answer a stream of request lines ``[line_no,] value`` into ``out/batch=N``.
 
-    A replayed batch overwrites its own folder.
+    ``searcher`` may be a function that gives one, to see the newest index in
+    each batch. A replayed batch overwrites its own folder.
     """
 
     def work(batch, number):
         if "line_no" not in batch.columns:
             batch = number_lines(batch)
-        searcher.replies(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        current = searcher if isinstance(searcher, Searcher) else searcher()
+        current.replies(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _start(lines, work, checkpoint, once)
 

@@ -11,6 +11,7 @@ from loomdex import Indexer, Searcher
 from loomdex.functions.constants import CODE_MODEL
 from loomdex.operators import embedding, logs, tables
 from loomdex.operators.ranking import jaccard
+from loomdex.plans.cells import CellIndex
 from loomdex.sources import requests
 from loomdex.streaming import jobs
 
@@ -131,6 +132,18 @@ def test_index_and_search_end_to_end(spark, indexer, tmp_path):
     assert [r["event"] for r in searcher.stream_events("sum").orderBy("seq").collect()] == ["chunk", "end"]
 
 
+def test_cells_with_all_probes_equal_the_exact_search(spark, indexer, tmp_path):
+    texts = {f"{'p' if i % 2 else 't'}{i}.{'py' if i % 2 else 'md'}": (f"w{i % 7} w{i % 5} w{i % 3} x{i}", 0) for i in range(60)}
+    indexer.index_full(files(spark, texts))
+    cells = CellIndex.build(indexer.store.vectors(), str(tmp_path / "cells"), cells=5)
+    queries = spark.createDataFrame([(1, "w1 w2", 4, None), (2, "w6 x13", 2, '{"lang": "python"}'), (3, "none", 3, None)], "query_id bigint, text string, k int, where string")
+    exact = Searcher.of(indexer.store).hits(queries)
+    rows = {probes: sorted(map(tuple, Searcher.of(indexer.store, cells=cells, probes=probes).hits(queries).select(*exact.columns).collect())) for probes in (1, 99)}
+    assert rows[99] == sorted(map(tuple, exact.collect()))
+    assert [r[0] for r in rows[1]] == [r[0] for r in rows[99]]  # never short of k
+    assert CellIndex(spark, str(tmp_path / "cells")).vectors.count() == 60
+
+
 def test_rerank_and_options(spark, indexer):
     indexer.index_full(files(spark, {**FIRST, "e.md": ("add add add", 0)}))
     searcher = Searcher.of(indexer.store)
