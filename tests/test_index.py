@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -75,6 +76,22 @@ def test_incremental_equals_full_after_changes(spark, indexer, tmp_path):
     assert mine == theirs
 
 
+def test_refresh_reads_changed_files_only(spark, indexer, tmp_path):
+    project = tmp_path / "project"
+    project.mkdir()
+    for name, text in (("a.py", "def a(): pass\n"), ("b.py", "def b(): pass\n"), ("c.py", "def c(): pass\n")):
+        (project / name).write_text(text)
+        os.utime(project / name, (1_700_000_000, 1_700_000_000))
+    assert indexer.refresh(str(project))["chunks"] == 3
+    (project / "a.py").write_text("def a2(): pass\n")
+    (project / "b.py").write_bytes(b"\x00")  # turned binary
+    (project / "c.py").unlink()
+    (project / "d.py").write_text("def d(): pass\n")
+    assert indexer.refresh(str(project)) == {"run": 2, "files": 2, "deleted": 2, "chunks": 2}
+    assert sorted(r["name"] for r in indexer.store.vectors().collect()) == ["a2", "d"]
+    assert indexer.refresh(str(project)) == {"run": 3, "files": 0, "deleted": 0, "chunks": 0}
+
+
 def test_failed_run_leaves_no_trace(spark, indexer):
     indexer.index_full(files(spark, FIRST))
 
