@@ -69,7 +69,8 @@ def smallest_partner(visits: DataFrame, threshold: float) -> DataFrame:
         F.ceil(F.sum(F.col("home").cast("long")) / ROWS_PER_BLOCK).cast("int").alias("homes"),
         F.ceil(F.sum((~F.col("home")).cast("long")) / ROWS_PER_BLOCK).cast("int").alias("guests"),
     )
-    sized = visits.join(blocks, ["space", "cell"]).where("homes > 0")  # a cell table: small, AQE broadcasts it
+    # one row per space and centre, of which there are at most MAX_CENTRES
+    sized = visits.join(F.broadcast(blocks), ["space", "cell"]).where("homes > 0")
 
     def own(n):
         return F.pmod(F.xxhash64("chunk_id"), F.col(n)).cast("int")

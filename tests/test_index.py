@@ -56,7 +56,7 @@ def test_full_run_twice_is_one(spark, indexer):
     assert indexer.index_full(files(spark, FIRST)) == {"run": 1, "files": 3, "deleted": 0, "chunks": 4}
     assert indexer.index_full(files(spark, FIRST))["run"] == 2
     assert snapshot(indexer.store.vectors()) == snapshot(indexer.store.chunks()) == EXPECTED
-    assert indexer.store.cache().count() == 4  # nothing embedded twice
+    assert indexer.store.cache("1").count() == 4  # nothing embedded twice
 
 
 def test_incremental_equals_full_after_changes(spark, indexer, tmp_path):
@@ -108,9 +108,14 @@ def test_failed_run_leaves_no_trace(spark, indexer):
 
 def test_reembed_stale(spark, indexer):
     indexer.index_full(files(spark, FIRST))
-    newer = Indexer(spark, indexer.store.root, index_version="2")
+
+    def other_embedder(text, model):
+        return F.array(F.length(text).cast("float"), F.lit(1).cast("float"))
+
+    newer = Indexer(spark, indexer.store.root, embedder=other_embedder, index_version="2")
     assert newer.reembed_stale()["chunks"] == 4
-    assert {r["index_version"] for r in newer.store.vectors().collect()} == {"2"}
+    rows = newer.store.vectors().collect()
+    assert {(r["index_version"], len(r["embedding"])) for r in rows} == {("2", 2)}  # no vector of the old embedder
     assert snapshot(newer.store.vectors()) == snapshot(newer.store.chunks()) == EXPECTED
     assert newer.reembed_stale()["chunks"] == 0
 
