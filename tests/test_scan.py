@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import paths
 from loomdex.functions.text import count_tokens, normalise_query
-from loomdex.functions.vectors import hashed_vector
+from loomdex.functions.vectors import cosine_distance, hashed_vector, l2_norm
 from loomdex.operators.filters import metadata_filter
 from loomdex.sources import project
 
@@ -164,3 +164,10 @@ def test_metadata_filter(spark, where, expected):
 def test_unknown_filter_operator(spark):
     with pytest.raises(ValueError):
         metadata_filter(spark.range(1), {"$not": []})
+
+
+def test_cosine_distance_column(spark):
+    rows = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-2.0, 0.0])], "a array<float>, b array<float>")
+    a, b = F.col("a"), F.col("b")
+    got = [r[0] for r in rows.select(cosine_distance(a, b, l2_norm(a), l2_norm(b))).collect()]
+    assert got == pytest.approx([1 - 24 / 25, 1.0, 2.0])
