@@ -2,6 +2,19 @@
 
 from __future__ import annotations
 
+OP6 = r"""
+with recursive d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::varchar[]) w from documents),
+sh as (select distinct r, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i+4], ' ') end s
+  from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0)),
+n as (select r, count(*) c from sh group by r),
+pr as (select a.r x, b.r y, count(*) k from sh a join sh b on a.s = b.s and a.r <> b.r group by all),
+lk as (select x, y from pr join n a on a.r = x join n b on b.r = y where 100 * k >= 75 * (a.c + b.c - k)),
+reach(r, t) as (select r, r from d union select reach.r, lk.y from reach join lk on lk.x = reach.t),
+comp as (select reach.r, min(d.doc_id) component_id from reach join d on d.r = reach.t group by reach.r)
+select doc_id, coalesce(c, 0)::bigint n_shingles, component_id, doc_id is not distinct from component_id kept
+from d left join n using (r) join comp using (r)
+"""
+
 OP9 = r"""
 with d as (select doc_id, row_number() over () r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) w from documents),
 b as (select item_id::varchar item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
@@ -31,4 +44,4 @@ t as (select r, count(*) n from g where began < budget group by r)
 select doc_id, q.size, q.source_size::bigint source_size, q.target, (q.size * coalesce(t.n, 0))::bigint taken from q left join t using (r)
 """
 
-ORACLE = {"op9_decontamination": OP9, "op10_source_mixing": OP10}
+ORACLE = {"op6_minhash_dedup": OP6, "op9_decontamination": OP9, "op10_source_mixing": OP10}
