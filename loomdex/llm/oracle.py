@@ -15,6 +15,18 @@ select doc_id, coalesce(c, 0)::bigint n_shingles, component_id, doc_id is not di
 from d left join n using (r) join comp using (r)
 """
 
+OP8 = r"""
+with d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::varchar[]) w from documents),
+win as (select r, i, array_to_string(w[i:i+34], ' ') g from (select r, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+rep as (select g from win group by g having count(*) > 1),
+gone as (select distinct r, unnest(range(i, i + 35)) j from win join rep using (g)),
+wd as (select d.r, j, w[j] t from (select r, w, unnest(range(1, len(w) + 1)) j from d) d),
+kept as (select wd.r, string_agg(t, ' ' order by wd.j) s from wd left join gone on gone.r = wd.r and gone.j = wd.j where gone.j is null group by wd.r),
+n as (select r, count(*) n from gone group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(s, '')) kept_sha256
+from d left join n using (r) left join kept using (r)
+"""
+
 OP9 = r"""
 with d as (select doc_id, row_number() over () r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) w from documents),
 b as (select item_id::varchar item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
@@ -44,4 +56,4 @@ t as (select r, count(*) n from g where began < budget group by r)
 select doc_id, q.size, q.source_size::bigint source_size, q.target, (q.size * coalesce(t.n, 0))::bigint taken from q left join t using (r)
 """
 
-ORACLE = {"op6_minhash_dedup": OP6, "op9_decontamination": OP9, "op10_source_mixing": OP10}
+ORACLE = {"op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10}
