@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+OP5 = r"""
+with recursive v as (select row_number() over () r, vec_id, embedding::double[] e from embeddings),
+g as (select r, e, sqrt(list_dot_product(e, e)) n from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+lk as (select a.r x, b.r y from g a join g b on a.r <> b.r and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(r, t) as (select r, r from v union select reach.r, lk.y from reach join lk on lk.x = reach.t),
+comp as (select reach.r, min(v.vec_id) component_id from reach join v on v.r = reach.t group by reach.r),
+n as (select x r, count(*) n from lk group by x)
+select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id is not distinct from component_id kept
+from v left join n using (r) join comp using (r)
+"""
+
 OP6 = r"""
 with recursive d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::varchar[]) w from documents),
 sh as (select distinct r, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i+4], ' ') end s
@@ -56,4 +67,4 @@ t as (select r, count(*) n from g where began < budget group by r)
 select doc_id, q.size, q.source_size::bigint source_size, q.target, (q.size * coalesce(t.n, 0))::bigint taken from q left join t using (r)
 """
 
-ORACLE = {"op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10}
+ORACLE = {"op5_embedding_dedup": OP5, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10}

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import decontaminate, minhash, mixing, substring
+from loomdex.llm import decontaminate, minhash, mixing, substring, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,4 +35,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op5_embedding_dedup, op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
