@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import decontaminate, minhash, mixing, substring, vectors
+from loomdex.llm import decontaminate, minhash, mixing, quality, substring, toxicity, vectors
+
+from loomdex.llm.labelled import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.scored(docs, lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -35,4 +51,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_embedding_dedup, op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op5_embedding_dedup, op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
