@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP4 = r"""
+with p as (select row_number() over () r, page_id, url, regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', ''), '\.$', '') host,
+    '/' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1) path,
+    to_timestamp(1704067200 + (('0x' || substr(md5('t' || page_id::varchar), 1, 6))::bigint * (366 * 86400 // 16777216 + 1)) % (366 * 86400))::timestamp ft from pages),
+nm as (select distinct kind, value, every from (
+    select 'host' kind, host value, 3 every from p union all
+    select 'prefix', host || '/' || string_split(path, '/')[2] || '/', 7 from p union all
+    select 'domain', regexp_extract(host, '[^.]+\.(.+)', 1), 5 from p) where value is not null and value not in ('', '/', '//')),
+nb as (select kind, value, ('0x' || substr(md5('d' || value), 1, 6))::bigint % 366 d, ('0x' || substr(md5('r' || value), 1, 6))::bigint % 120 rm, ('0x' || substr(md5('a' || value), 1, 6))::bigint % 2 ag
+    from nm where ('0x' || substr(md5('s' || value), 1, 6))::bigint % every = 0),
+ev as (select kind, value, 'add' a, d from nb union all select kind, value, 'remove', d + 1 + rm from nb union all select kind, value, 'add', d + 150 from nb where ag = 0),
+iv as (select kind, value, a, to_timestamp(1704067200 + d * 86400)::timestamp since, lead(to_timestamp(1704067200 + d * 86400)::timestamp) over (partition by kind, value order by d) until from (select kind, value, d, max(a) a from ev group by all)),
+m as (select r, kind, value, since from p join iv on a = 'add' and host <> '' and ft >= since and (until is null or ft < until)
+    and case kind when 'host' then host = value when 'domain' then host = value or ends_with(host, '.' || value) else starts_with(host || path, value) end),
+b as (select r, count(*) n, first(kind order by -length(value), kind, value) k, first(value order by -length(value), kind, value) v, first(since order by -length(value), kind, value) s from m group by r)
+select page_id, url, ft fetched_at, host, coalesce(n, 0)::bigint n_entries, k entry_kind, v entry, s listed_since, n is not null blocked from p left join b using (r)
+"""
+
 OP5 = r"""
 with recursive v as (select row_number() over () r, vec_id, embedding::double[] e from embeddings),
 g as (select r, e, sqrt(list_dot_product(e, e)) n from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
@@ -67,4 +85,4 @@ t as (select r, count(*) n from g where began < budget group by r)
 select doc_id, q.size, q.source_size::bigint source_size, q.target, (q.size * coalesce(t.n, 0))::bigint taken from q left join t using (r)
 """
 
-ORACLE = {"op5_embedding_dedup": OP5, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10}
+ORACLE = {"op4_url_filter": OP4, "op5_embedding_dedup": OP5, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import decontaminate, minhash, mixing, quality, substring, toxicity, vectors
+from loomdex.llm import decontaminate, minhash, mixing, pages, quality, substring, toxicity, urls, vectors
 
 from loomdex.llm.labelled import fold
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -28,6 +32,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.evaluate(urls.captured(source), urls.drawn_entries(source))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -51,4 +60,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op5_embedding_dedup, op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_html_extraction, op2_quality, op3_toxicity, op4_url_filter, op5_embedding_dedup, op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
