@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import decontaminate, minhash, mixing, pages, quality, substring, toxicity, urls, vectors
+from loomdex.llm import decontaminate, minhash, mixing, pages, quality, secrets, substring, toxicity, urls, vectors
 
 from loomdex.llm.labelled import fold
 
@@ -45,6 +45,15 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), F.col("source")
+    common, forest = secrets.learn(docs, path)
+    found = secrets.scan(docs, common, forest, path)
+    return found.select(
+        "doc_id", "nth", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        "probability", "is_secret")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -61,4 +70,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_extraction, op2_quality, op3_toxicity, op4_url_filter, op5_embedding_dedup, op6_minhash_dedup, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
+    op1_html_extraction, op2_quality, op3_toxicity, op4_url_filter, op5_embedding_dedup, op6_minhash_dedup,
+    op7_secret_scan, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
