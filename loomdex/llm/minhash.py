@@ -2,12 +2,13 @@
 
 Documents with the same shingle set are one class from the start, so exact
 copies cost one row each and never meet. Signatures are cut into bands; classes
-that agree on a band share a bucket. In a first round every member of a bucket
-is compared with the bucket's leader only, which ties groups of any size with
-as many pairs as they have members. A second round looks at the pairs of a
-bucket that are still in different components; there large buckets are cut into
-blocks, and pairs of blocks are compared in NumPy, emitting survivors only.
-Together the rounds test every pair of every bucket that is not already tied.
+that agree on a band share a bucket. In the first rounds every member of a bucket is
+compared with one leader of the bucket only, if it is not in the leader's
+component yet; that ties groups of any size with a few pairs a member. The last
+round looks at the pairs of a bucket that are still in different components;
+there large buckets are cut into blocks, and pairs of blocks are compared in
+NumPy, emitting survivors only. Together the rounds test every pair of every
+bucket that is not already tied.
 
 A test reads the signatures batch by batch. After each batch the pair is
 dropped if the posterior probability that its similarity reaches the threshold
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import words as wd
 from loomdex.llm.graph import components
-from loomdex.session import materialize
+from loomdex.llm.stored import narrow, stored
 
 WORDS = 5
 #: Similarity in hundredths that links two documents.
@@ -37,8 +38,8 @@ PERCENT = 75
 BANDS, ROWS = 24, 4
 #: Signature values read between two tests, and the posterior below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
-#: Members of a block in the second round.
-BLOCK = 256
+#: Rounds of leaders, and members of a block in the last round.
+LEADERS, BLOCK = 2, 256
 
 
 def shingles(w: wd.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +184,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * both >= percent * (F.size("_ha") + F.size("_hb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-                    batch: int = BATCH, miss: float = MISS, block: int = BLOCK,
-                    keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """Columns ``keep`` and n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...); options of ``groups``.
 
     A document's set holds its distinct ``k``-word shingles (A-Z lowered); a
     shorter one is one shingle. Documents link when their sets overlap by
@@ -197,66 +196,114 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, ban
     so they link; each is returned. An empty table gives no rows. Sets are
     compared by 64-bit hashes of their shingles, classes by a hash of the set.
     """
+    found = groups(docs, keep, **options)
+    return found.select(
+        *[F.col(f"_key.{c}").alias(c) for c in keep], "n_shingles", "component_id",
+        F.col("_key.doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest doc_id; rows without words all stay.
+
+    Of a component without any doc_id the text of the smallest hash stays. Rows
+    equal in doc_id and text come back once.
+    """
+    found = groups(docs, ("doc_id",), **options)
+    place = F.struct(F.col("_key.doc_id").isNull().alias("none"), F.col("_key.doc_id").alias("doc_id"), F.col("_key._text").alias("text"))
+    first = found.where("group is not null").groupBy("group").agg(F.min(place).alias("at")).select("at.doc_id", "at.text")
+    blank = found.where("group is null").select("_key.doc_id", F.col("_key._text").alias("text")).distinct()
+    chosen = narrow(first.union(blank).select(F.col("doc_id").alias("_id"), F.col("text").alias("_mine")), "chosen")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    met = hashed.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mine")))
+    return met.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+
+
+def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS, percent: int = PERCENT, bands: int = BANDS,
+           rows: int = ROWS, batch: int = BATCH, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """(_key, n_shingles, group, component_id) for every row; ``_key`` holds ``keep``, doc_id and a hash of the text."""
     key = tuple(dict.fromkeys(("doc_id", *keep)))
     source = docs.select(
         F.struct(*key, F.xxhash64(F.col("text").cast("string")).alias("_text")).alias("_key"),
         F.col("text").cast("string").alias("text"))
     schema = f"_key {source.schema['_key'].dataType.simpleString()}, n_shingles long, set long, signature binary, bands array<long>"
-    found = materialize(source.mapInArrow(sign(k, bands, rows), schema), "signatures")
+    found = stored(source.mapInArrow(sign(k, bands, rows), schema), "signatures")
     threshold = percent / 100
 
     # one row a class: its signature and the row that stands for it
     rep = F.min(F.struct(F.col("_key.doc_id").isNull().alias("none"), F.col("_key.doc_id").alias("doc_id"), F.col("_key._text").alias("text")))
-    named = materialize(found.where("set is not null").groupBy("set").agg(rep.alias("rep")), "named")
+    named = narrow(found.where("set is not null").groupBy("set").agg(rep.alias("rep")), "named")
     classes = found.where("set is not null").select("set", "_key", "signature").join(named, "set").where(
         F.col("_key.doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_key._text") == F.col("rep.text")))
-    classes = materialize(classes.dropDuplicates(["set"]).select("set", "rep", "signature"), "classes")
+    classes = stored(classes.dropDuplicates(["set"]).select("set", "rep", "signature"), "classes")
 
     shared = found.where("set is not null").select("set", F.explode("bands").alias("bucket")).distinct()
-    members = materialize(shared, "members")
-    leaders = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("set", F.xxhash64("set")).alias("leader"))
-    buckets = materialize(leaders.where("n > 1"), "buckets")
-    first = members.join(buckets, "bucket").where("set != leader").select(F.col("set").alias("a"), F.col("leader").alias("b"))
-    first = materialize(pruned(first.distinct(), classes, threshold, batch, miss), "first")
-
-    # full sets of the classes in a surviving pair; texts are read again, once for each class
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    members = stored(shared, "members")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = narrow(buckets, "buckets")
+    # only members that share a bucket go on
+    placed = narrow(members.join(buckets, "bucket").withColumn("component", F.col("set")), "placed")
+
+    # full sets of the classes in surviving pairs; a text is read again once, and only where a new class turns up
+    def sets_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        if known is not None:
+            needed = narrow(needed.join(known.select("set"), "set", "left_anti"), "needed")
+            if needed.isEmpty():
+                return known
         needed = classes.join(needed, "set").select("set", F.col("rep.doc_id").alias("_id"), F.col("rep.text").alias("_hash"))
         texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).withColumn("_mine", F.xxhash64("text"))
         met = texts.join(
             needed.hint("shuffle_hash"), texts["_mine"].eqNullSafe(needed["_hash"]) & texts["_doc"].eqNullSafe(needed["_id"]))
         found = met.select("set", "text").mapInArrow(shingle_sets(k), "set long, hashes array<long>")
-        return materialize(found.dropDuplicates(["set"]), "sets")
-
-    links = materialize(verified(first, sets_of(first), percent), "links")
-    parts = components(links)
-
-    # second round: buckets of three or more whose members are not all in one component
-    tied = materialize(parts, "parts")
-    placed = members.join(buckets.where("n > 2").select("bucket", "n"), "bucket").join(
-        tied.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")).drop("leader")
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    mixed = materialize(mixed.select("bucket"), "mixed")
-    rest = placed.join(mixed, "bucket").withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
+        found = stored(found.dropDuplicates(["set"]), "sets")
+        return found if known is None else known.union(found)
+
+    def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return ordered if tested is None else ordered.join(tested, ["a", "b"], "left_anti")
+
+    links, tested, tied, sets = None, None, None, None
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs, and tie what they link."""
+        nonlocal links, tested, tied, placed, sets
+        tested = pairs if tested is None else tested.union(pairs)
+        if pairs.isEmpty() and tied is not None:
+            return
+        sets = sets_of(pairs, sets)
+        more = narrow(verified(pairs, sets, percent), "links")
+        if more.isEmpty() and tied is not None:
+            return
+        links = more if links is None else links.union(more)
+        tied = narrow(components(links), "parts")
+        now = placed.select("bucket", "set", "n").join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn(
+            "component", F.coalesce("component", "set"))
+        now = narrow(now, "now")
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        placed = narrow(now.join(narrow(mixed.select("bucket"), "mixed"), "bucket"), "placed")
+
+    for turn in range(LEADERS):
+        # the first leader is one for all buckets that have it, later ones are drawn for each bucket
+        rank = F.xxhash64("set") if turn == 0 else F.xxhash64("set", "bucket", F.lit(turn))
+        leaders = placed.groupBy("bucket").agg(F.min_by(F.struct("set", "component"), rank).alias("leader"))
+        pairs = placed.join(narrow(leaders, "leaders"), "bucket").where("component != leader.component")
+        pairs = untested(pairs.select(F.col("set").alias("a"), F.col("leader.set").alias("b")), tested)
+        settle(narrow(pruned(pairs, classes, threshold, batch, miss), "pairs"))
+
+    # the pairs of what is still mixed: a bucket of two has been tested, larger ones are compared block by block
+    rest = placed.where("n > 2").withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
     rest = rest.withColumn("_mine", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
     paired = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
         "bucket", "set", "component", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
         F.signum(F.col("_mine") - F.col("_other")).cast("int").alias("side"))
-    second = paired.join(classes.select("set", "signature"), "set").groupBy("bucket", "_i", "_j").applyInArrow(
+    last = paired.join(classes.select("set", "signature"), "set").groupBy("bucket", "_i", "_j").applyInArrow(
         block_survivors(threshold, batch, miss), "a long, b long")
-    tested = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tested = materialize(tested.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "second")
-    more = materialize(verified(tested, sets_of(tested), percent), "more")
-    if not more.isEmpty():
-        tied = materialize(components(links.union(more)), "parts")
+    settle(narrow(untested(last, tested), "pairs"))
 
     whole = classes.select("set", F.col("rep.doc_id").alias("_id")).join(tied.withColumnRenamed("node", "set"), "set")
-    smallest = materialize(whole.groupBy("component").agg(F.min("_id").alias("_least")), "smallest")
-    ids = materialize(whole.join(smallest, "component").select("set", "_least"), "ids")
+    smallest = narrow(whole.groupBy("component").agg(F.min("_id").alias("_least")), "smallest")
+    ids = narrow(whole.join(smallest, "component").select("set", "_least", "component"), "ids")
     result = found.join(named.select("set", F.col("rep.doc_id").alias("_own")), "set", "left").join(ids, "set", "left")
-    component = F.coalesce("_least", "_own", F.col("_key.doc_id"))
     return result.select(
-        *[F.col(f"_key.{c}").alias(c) for c in keep], "n_shingles", component.alias("component_id"),
-        F.col("_key.doc_id").eqNullSafe(component).alias("kept"))
+        "_key", "n_shingles", F.coalesce("component", "set").alias("group"),
+        F.coalesce("_least", "_own", F.col("_key.doc_id")).alias("component_id"))
