@@ -6,7 +6,7 @@ blocks are indexed by hash with their least and greatest place. Every rolling
 window of a block's length probes the index; a probe that meets a block of
 another place is an anchor. Only texts with anchors are read again: around
 anchors the repeats are extended to windows of full length, and those windows
-are matched by 128-bit hashes over all texts. Matching windows that overlap
+are matched by 96-bit hashes over all texts. Matching windows that overlap
 are together the maximal exact repeats, and every word in one is removed.
 
 No pair of places is ever written out: a passage that a third of all documents
@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm import words as wd
-from loomdex.session import materialize
+from loomdex.llm.stored import stored
 
 WINDOW = 35
+#: A probe is one long: the upper 44 bits of its hash, then its place, of which the last value stands for all later ones.
+PLACE_BITS = 20
+LAST_PLACE = (1 << PLACE_BITS) - 1
 
 
 def digest(pieces: list[bytes]) -> str:
@@ -45,7 +48,11 @@ def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def places(k: int, window: int, blocks_only: bool):
-    """(text id, text) to (hash, text id, place) of rolling windows of ``k`` words, or of the blocks only."""
+    """(text id, text) to (text id, hash and place) of rolling windows of ``k`` words, or of the blocks only.
+
+    Anchors only say where to look, so a shortened hash is enough: a chance
+    match costs a look and changes no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,24 +61,24 @@ def places(k: int, window: int, blocks_only: bool):
                 rolled = wd.window_hashes(wd.word_hashes(w), k)
                 at, row = wd.row_windows(w, k)
                 place = at - w.bounds[row]
-                text = ids[w.first + row] if len(row) else row
-                kept = np.diff(w.bounds)[row] >= window if len(row) else np.zeros(0, bool)
-                if blocks_only:
-                    kept &= place % k == 0
+                mine = ids[w.first : w.first + w.rows]
                 # a text that a chunk holds more than once gives its rows once
-                _, once = np.unique(ids[w.first : w.first + w.rows], return_index=True)
+                _, once = np.unique(mine, return_index=True)
                 only = np.zeros(w.rows, bool)
                 only[once] = True
-                kept &= only[row]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rolled[at[kept]].view(np.int64)), pa.array(text[kept]), pa.array(place[kept].astype(np.int32))],
-                    ["hash", "text_id", "place"])
+                kept = only[row] & (np.diff(w.bounds)[row] >= window)
+                if blocks_only:
+                    kept &= place % k == 0
+                high = rolled[at[kept]] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
+                packed = high | np.minimum(place[kept], LAST_PLACE).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mine[row[kept]]), pa.array(packed.view(np.int64))], ["text_id", "probe"])
 
     return run
 
 
 def wide_windows(window: int, k: int):
-    """(text id, text, anchors) to 128-bit hashes and places of full windows that hold a whole anchor."""
+    """(text id, text, anchors) to 96-bit hashes and places of full windows that hold a whole anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +92,17 @@ def wide_windows(window: int, k: int):
                 mine = np.arange(bounds[w.first], bounds[w.first + w.rows])
                 owner = np.repeat(np.arange(w.rows), np.diff(bounds[w.first : w.first + w.rows + 1]))
                 anchor[w.bounds[owner] + flat[mine]] = 1
+                for r in owner[flat[mine] == LAST_PLACE]:
+                    anchor[w.bounds[r] + LAST_PLACE : w.bounds[r + 1]] = 1
                 sums = np.concatenate(([0], np.cumsum(anchor)))
                 kept = sums[np.minimum(at + window - k + 1, len(sums) - 1)] > sums[at]
                 at, row = at[kept], row[kept]
                 one = wd.window_hashes(wd.word_hashes(w), window)[at]
                 two = wd.window_hashes(wd.word_hashes(w, seed=2), window, seed=2)[at]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[w.first + row] if len(row) else row),
-                    pa.array((at - w.bounds[row]).astype(np.int32))], ["one", "two", "text_id", "place"])
+                    pa.array(ids[w.first : w.first + w.rows][row]), pa.array(one.view(np.int64)),
+                    pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array((at - w.bounds[row]).astype(np.int32))], ["text_id", "one", "two", "place"])
 
     return run
 
@@ -125,30 +135,32 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     text = F.col("text").cast("string")
     source = docs.select(F.struct("doc_id", F.xxhash64(text).alias("text_id")).alias("_key"), text.alias("text"))
     schema = f"_key {source.schema['_key'].dataType.simpleString()}, n_words long, sha string"
-    rows = materialize(source.mapInArrow(summary, schema).select("_key.*", "n_words", "sha"), "rows")
+    rows = stored(source.mapInArrow(summary, schema).select("_key.*", "n_words", "sha"), "rows")
     same = rows.groupBy("text_id").agg(
         F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep"))
-    same = materialize(same, "same")
+    same = stored(same, "same")
 
     pair = source.select("_key.text_id", "text")
-    blocks = pair.mapInArrow(places(k, window, True), "hash long, text_id long, place int")
-    spot = F.struct("text_id", "place")
-    index = materialize(blocks.groupBy("hash").agg(F.min(spot).alias("least"), F.max(spot).alias("most")), "index")
-    probes = pair.mapInArrow(places(k, window, False), "hash long, text_id long, place int")
-    met = probes.join(index.hint("shuffle_hash"), "hash")
-    here = F.struct("text_id", "place")
-    hits = met.where((here != F.col("least")) | (here != F.col("most"))).select("text_id", "place")
-    anchors = hits.groupBy("text_id").agg(F.collect_set("place").alias("anchors"))
-    anchors = materialize(anchors.join(same, "text_id").select("text_id", "rep.doc_id", "anchors"), "anchors")
+    fields = "text_id long, probe long"
+    hashed, spot = F.shiftright("probe", PLACE_BITS), F.xxhash64("text_id", "probe")
+    blocks = pair.mapInArrow(places(k, window, True), fields)
+    index = stored(blocks.groupBy(hashed.alias("hash")).agg(F.min(spot).alias("least"), F.max(spot).alias("most")), "index")
+    probes = pair.mapInArrow(places(k, window, False), fields)
+    met = probes.join(index.hint("shuffle_hash"), F.shiftright(probes["probe"], PLACE_BITS) == index["hash"])
+    place = F.col("probe").bitwiseAND(LAST_PLACE).cast("int")
+    elsewhere = (spot != F.col("least")) | (spot != F.col("most")) | (place == LAST_PLACE)
+    anchors = met.where(elsewhere).groupBy("text_id").agg(F.collect_set(place).alias("anchors"))
+    anchors = stored(anchors.join(same, "text_id").select("text_id", "rep.doc_id", "anchors"), "anchors")
 
     read = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_id"), text.alias("text"))
     texts = read.join(anchors.hint("shuffle_hash"), read["_doc"].eqNullSafe(anchors["doc_id"]) & (read["_id"] == anchors["text_id"]))
-    texts = materialize(texts.dropDuplicates(["text_id"]).select("text_id", "text", "anchors"), "texts")
+    texts = stored(texts.dropDuplicates(["text_id"]).select("text_id", "text", "anchors"), "texts")
 
-    wide = texts.mapInArrow(wide_windows(window, k), "one long, two long, text_id long, place int")
-    twice = materialize(wide.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "twice")
+    wide = texts.mapInArrow(wide_windows(window, k), "text_id long, one long, two int, place int")
+    twice = stored(wide.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "twice")
     found = wide.join(twice, ["one", "two"]).groupBy("text_id").agg(F.collect_set("place").alias("places"))
-    return rows.join(same.select("text_id", "copies"), "text_id"), texts.select("text_id", "text"), materialize(found, "found")
+    found = stored(found, "found")
+    return rows.join(same.select("text_id", "copies"), "text_id"), texts.select("text_id", "text"), found
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -160,11 +172,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``kept_sha256`` is the hash of the words left, joined by one space. Null,
     empty and shorter texts keep all; rows with equal texts, equal rows too, are
     each other's repeats; null doc_ids are rows as all others. Equal windows are
-    found by 128-bit hashes. Other columns are ignored.
+    found by 96-bit hashes. Other columns are ignored.
     """
     rows, texts, found = repeats(docs, window)
     left = texts.join(found, "text_id").mapInArrow(cut(window), "text_id long, removed long, sha_left string")
-    left = materialize(left, "left")
+    left = stored(left, "left")
     joined = rows.join(left, "text_id", "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return joined.select(
