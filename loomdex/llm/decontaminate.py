@@ -243,5 +243,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged; options of ``contamination``."""
-    found = contamination(docs, benchmark, keep=tuple(docs.columns), **options)
-    return found.where("not contaminated").select(*docs.columns)
+    whole = F.struct(*docs.columns).alias("_row")  # so that columns of docs may have any name
+    found = contamination(docs.select(whole, F.col("text").alias("text")), benchmark, keep=("_row",), **options)
+    return found.where("not contaminated").select("_row.*")

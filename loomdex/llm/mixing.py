@@ -75,8 +75,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
-        seed: str = "mix", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, source, text).
+        seed: str = "mix", block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text, ...).
 
     ``size`` is the number of words, 0 for null. ``taken`` is ``size`` times how
     often the mix takes the document, at most ``epochs`` times. The order within
@@ -87,8 +87,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     """
     # Names are prefixed so that null sorts after every name: x'00' + name, x'01' for null.
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+    keep = tuple(dict.fromkeys(keep))
     rows = materialize(docs.select(
-        "doc_id", key.alias("source_key"),
+        *dict.fromkeys(("doc_id", *keep)), key.alias("source_key"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
     ), "sizes")
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     budget = F.lit(float(share)) * F.lit(int(total[0] or 0))
     ends = starts.where(F.col("_start") < budget).agg(F.max_by(F.struct("_slot", "_start"), "_slot").alias("at")).first().at
     if ends is None:
-        return once.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return once.select(*keep, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     place = ["_finish", "_key", "source_key", "doc_id", "size", "_pass"]
     upto = W.orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
     at = F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.lit(ends["_start"])
@@ -133,4 +134,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     mine = [F.struct(finish[e].alias("_finish"), "_key", "source_key", "doc_id", "size", F.lit(e).alias("_pass"))
             for e in range(epochs)]
     times = sum((F.when((F.col("target") > 0) & (mine[e] <= last), 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return once.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+    return once.select(*keep, "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target and taken; options of ``mix``.
+
+    Columns of ``docs`` that have one of these names give way to them.
+
+    Texts travel once, to meet what was decided on their sizes. Rows are met by
+    doc_id and a hash of the text, so rows equal in both come back once.
+    """
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    taken = mix(hashed, keep=("doc_id", "_hash"), **options).where("taken > 0").dropDuplicates(["doc_id", "_hash"])
+    made = ("size", "source_size", "target", "taken")
+    taken = materialize(taken.withColumnsRenamed({"doc_id": "_id", "_hash": "_mine", **{c: f"_{c}" for c in made}}), "taken")
+    met = hashed.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mine")))
+    return met.select(*[c for c in docs.columns if c not in made], *[F.col(f"_{c}").alias(c) for c in made])

@@ -221,6 +221,11 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",
     The whole text counts. Null, empty and blank texts have no hits and get the
     score of that; rows that repeat are scored alike; other columns are ignored.
     """
+    return judged(docs, lexicon, keep, report).select("_key.*", "score", *(["hits"] if report else []))
+
+
+def judged(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...], report: bool = False) -> DataFrame:
+    """(_key, score, hits): the kept columns as one struct, so that their names may be any."""
     source = docs.select(F.struct(*keep).alias("_key"), F.col("text").cast("string").alias("_text"))
     automaton = lexicon.automaton()
     curve = lexicon.curve
@@ -236,10 +241,9 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(hits, pa.list_(pa.string()))], ["_key", "score", "hits"])
 
     schema = f"_key {source.schema['_key'].dataType.simpleString()}, score double, hits array<string>"
-    return source.mapInArrow(run, schema).select("_key.*", "score", *(["hits"] if report else []))
+    return source.mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, unchanged."""
-    found = scored(docs, lexicon, tuple(docs.columns))
-    return found.where(F.col("score") < threshold).select(*docs.columns)
+    return judged(docs, lexicon, tuple(docs.columns)).where(F.col("score") < threshold).select("_key.*")

@@ -1,0 +1,250 @@
+"""Operators that give a row for each row, against brute force, round trips and held-out labels."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomdex.llm import decontaminate, labelled, mixing, pages, quality, secrets, toxicity, urls
+
+
+# --- html ---------------------------------------------------------------------
+
+PAGES = {
+    None: "", "": "", "plain  text\n": "plain text", "<p>a<p>b&amp;c&nbsp;d": "a\nb&c d",
+    "<body><nav><a href=/>Home</a></nav><article><header><h1>Title</h1></header><p>First <b>bold</b> one.</p><p>Second.<br>line</p></article>"
+    "<div id='comments'><p>Nice post</p></div><footer>(c)</footer>": "Title\nFirst bold one.\nSecond. line",
+    "<div class='site-header'>Menu</div><div><h2>Head of it</h2><p>Some text with <a href=x>a link</a> inside.</p><ul><li>one<li>two</ul></div>"
+    "<div class='cookie-notice'>We use cookies</div><script>var x = '<p>no</p>';</script><form><p>Your name</p></form>":
+        "Head of it\nSome text with a link inside.\none\ntwo",
+    "<form><h1>T</h1><p>page inside a form, long enough</p></form>": "T\npage inside a form, long enough",
+    "<article><p>open <b>never closed": "open never closed",
+}
+
+
+@pytest.mark.parametrize("page", list(PAGES))
+def test_main_text(page):
+    assert pages.main_text(page) == PAGES[page]
+
+
+@pytest.mark.parametrize("piece", ["<", "<a '", "<div>", "<nav>", "</x>", "<p>a<b>b</b>", "<!--", "&", "<li>", "<td>"])
+def test_broken_pages_stay_linear(piece):
+    pages.main_text(piece * 20_000)
+
+
+def test_extract_keeps_rows_and_counts(spark):
+    rows = [(1, "u", "<p>é</p>", "x"), (1, "u", "<p>é</p>", "x"), (2, None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert sorted(pages.extract(table).collect()) == [(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0)]
+    assert pages.extract(table.limit(0)).count() == 0
+
+
+# --- labelled models --------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def labelled_docs(spark):
+    clean = [f"the loom weaves thread {i} over thread {i * 7 % 50} and under all others" for i in range(120)]
+    toxic = [f"you are a gr1m{'ster' if i % 2 else 'lock'} and thread {i} is under all others" for i in range(120)]
+    junk = [f"THREAD!! {i}!! OVER!! UNDER!! ### $$$ ALL!! " * (1 + i % 5) for i in range(120)]
+    rows = [(i, t, 0, 1) for i, t in enumerate(clean)] + [(200 + i, t, 1, 1) for i, t in enumerate(toxic)] + [(400 + i, t, 0, 0) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, t, q) for i, _, t, q in rows] + [(None, 1, 1), (9999, None, None)], "doc_id long, toxic int, quality int")
+    return docs, labels
+
+
+def accuracy(scored, labels, name, bar, held):
+    joined = scored.join(labels, "doc_id").where(held).select(F.avg(((F.col("score") >= bar).cast("int") == F.col(name)).cast("int"))).first()[0]
+    return joined
+
+
+def test_toxicity_on_held_out_labels(labelled_docs):
+    docs, labels = labelled_docs
+    held = labelled.fold(F.col("doc_id"), 3) == 1
+    lexicon = toxicity.learn(docs, labels, ~held)
+    assert any(entry.startswith(" grim") for entry in lexicon.weights)
+    scored = toxicity.scored(docs, lexicon)
+    assert accuracy(scored, labels, "toxic", 0.7, held) > 0.97
+    assert toxicity.without_toxic(docs, lexicon).columns == docs.columns
+
+
+def test_folding_exceptions_and_word_bounds():
+    assert toxicity.folded("Ｉd1οt!! 2024 a@b x$$") == " idiot 2024 aab x "
+    assert toxicity.folded(None) == toxicity.folded(" \n") == " " or toxicity.folded(" \n").strip() == ""
+    a = toxicity.Lexicon({" trash ": 3.0, " mor": 2.0, " moron ": 4.0}).automaton()
+    assert toxicity.features(toxicity.folded("a trash can by the road"), a)[0] == 0
+    assert toxicity.features(toxicity.folded("m0r0n"), a) == (np.log1p(4.0), 4.0)
+    assert toxicity.features(toxicity.folded("armor"), a)[0] == 0
+    long = toxicity.features(toxicity.folded("trash " + "word " * 99), a)[1]
+    assert long == pytest.approx(0.3)
+
+
+def test_models_without_labels_and_odd_rows(docs, no_docs, labelled_docs):
+    _, labels = labelled_docs
+    lexicon = toxicity.learn(no_docs, labels.limit(0), F.lit(True))
+    assert lexicon.curve == toxicity.Lexicon().curve
+    model = quality.learn(no_docs, labels.limit(0), F.lit(True))
+    assert model is None
+    for scored in (toxicity.scored(docs, lexicon), quality.scored(docs, model)):
+        assert scored.count() == docs.count() and scored.where("score is null or score < 0 or score > 1").count() == 0
+    assert toxicity.scored(no_docs, lexicon).count() == quality.scored(no_docs, model).count() == 0
+
+
+def test_quality_on_held_out_labels(labelled_docs, docs):
+    train, labels = labelled_docs
+    held = labelled.fold(F.col("doc_id"), 5) == 0
+    model = quality.learn(train, labels, ~held)
+    scored = quality.scored(train, model)
+    assert accuracy(scored, labels, "quality", 0.3, held) > 0.97
+    odd = quality.scored(docs, model)
+    assert odd.count() == docs.count() and odd.where("score is null or score < 0 or score > 1").count() == 0
+    # passages are counted over the whole text
+    assert odd.where("doc_id = 30").first().n_passages == -(-20_000 // quality.PASSAGE)
+    assert odd.where("doc_id = 21").first().n_passages == 1
+
+
+def test_attention_finds_the_passage_that_decides():
+    rng = np.random.default_rng(1)
+    bag = np.repeat(np.arange(300), 5)
+    x = rng.normal(size=(1500, quality.FEATURES)).astype(np.float64)
+    y = rng.integers(0, 2, 300).astype(float)
+    x[np.arange(300) * 5 + rng.integers(0, 5, 300), 0] += 6 * y
+    model = quality.train(x, bag, y, np.ones(300))
+    starts = np.arange(300) * 5
+    p = quality.forward(((x - model.centre) / model.scale).astype(np.float32), starts, bag, model.weights)[-1]
+    assert ((p > 0.5) == y).mean() > 0.95
+
+
+# --- url lists --------------------------------------------------------------------
+
+
+def test_entries_hold_between_addition_and_removal(spark):
+    entries = spark.sql("""select kind, value, action, timestamp(at) at from values
+        ('host','a.com','add','2024-01-10'), ('host','a.com','add','2024-02-01'), ('host','a.com','remove','2024-06-01'),
+        ('host','a.com','add','2024-12-01'), ('domain','b.org','add','2024-03-01'), ('prefix','c.net/x/','add','2024-03-01'),
+        ('host','d.com','add','2024-03-01'), ('host','d.com','remove','2024-03-01'), (null,'a.com','add','2024-01-01'),
+        ('host',null,'add','2024-01-01'), ('host','a.com','add',null), ('host','a.com','drop','2024-01-01') t(kind, value, action, at)""")
+    cases = [
+        (1, "http://a.com/p", "2024-01-09 23:59:59", False), (2, "http://A.com:80/p", "2024-01-10", True), (3, "https://www.a.com", "2024-05-31", True),
+        (4, "http://a.com/", "2024-06-01", False), (5, "http://a.com/", "2025-06-01", True), (6, "http://x.y.b.org/", "2024-03-02", True),
+        (7, "http://notb.org/", "2024-03-02", False), (8, "http://c.net/x/y?q=1", "2024-03-02", True), (9, "http://c.net/xy", "2024-03-02", False),
+        (10, "http://d.com/", "2024-03-05", False), (11, None, "2024-03-05", False), (12, "no url", "2024-03-05", False), (13, "http://a.com/", None, False),
+        (2, "http://A.com:80/p", "2024-01-10", True),
+    ]
+    captures = spark.createDataFrame([(i, u, t, "k") for i, u, t, _ in cases], "page_id long, url string, fetched_at string, kind string")
+    captures = captures.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    got = Counter((r.page_id, r.blocked) for r in urls.evaluate(captures, entries).collect())
+    assert got == Counter((i, b) for i, _, _, b in cases)
+    assert urls.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
+    assert urls.evaluate(captures.limit(0), entries).count() == 0
+
+
+# --- secrets -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def found_secrets(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(80)]
+    rows = [(i, f'set token = "{h}" and go on', "src/app.py") for i, h in enumerate(hexes)]
+    rows += [(100 + i, f"the extraordinarily{'long' * (i % 4)}word of commit {hexes[i % 80][:16]} stays", None) for i in range(80)]
+    rows += [(300, None, "x"), (301, "", "x"), (302, "ab " * 30_000 + "cdefghijklmnopqrstuv", "x"), (0, rows[0][1], "src/app.py"), (None, rows[1][1], "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, path string"), hexes
+
+
+def test_forest_keeps_secrets_only_and_masks_them(spark, found_secrets):
+    docs, hexes = found_secrets
+    common, forest = secrets.learn(docs, F.col("path"))
+    found = secrets.scan(docs, common, forest, F.col("path")).collect()
+    kept = {r.value for r in found if r.is_secret}
+    assert kept == set(hexes)
+    assert len([r for r in found if r.doc_id == 0]) == 2 and len([r for r in found if r.doc_id == 302]) == 1
+    masked = secrets.redacted(docs.withColumn("n_chars", F.length("text").cast("long")), common, forest, F.col("path"))
+    rows = masked.collect()
+    assert masked.columns == ["doc_id", "text", "path", "n_chars"] and len(rows) == docs.count()
+    assert not any(h in (r.text or "") for r in rows for h in hexes if r.doc_id is None or r.doc_id < 100)
+    assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+    assert [r.text for r in rows if r.doc_id == 0] == ['set token = "<secret>" and go on'] * 2
+
+
+def test_candidates_come_whole_and_in_order(spark):
+    text = "x=" + "a1" * 10 + ' "' + "B" * 40 + '"; ' + "c" * 15 + " end/" + "d" * 20
+    rows = secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], F.lit(None).cast("string")).orderBy("nth").collect()
+    assert [r.value for r in rows] == re.findall(r"[A-Za-z0-9+/_=-]{16,}", text)
+    assert rows[1].before.endswith('"') and rows[1].after.startswith('"') and rows[2].after == ""
+
+
+def test_secrets_of_no_rows(no_docs):
+    common, forest = secrets.learn(no_docs, F.col("source"))
+    assert forest is None and secrets.scan(no_docs, common, forest, F.col("source")).count() == 0
+    assert secrets.redacted(no_docs, common, forest, F.col("source")).count() == 0
+
+
+# --- benchmark -----------------------------------------------------------------------
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def tokens(text):
+    return re.findall(ALNUM, "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def expected_hits(rows, items, window=13):
+    found = []
+    for doc_id, text in rows:
+        words, hit, ids = tokens(text), set(), set()
+        for item_id, item in items:
+            item = tokens(item)
+            k = min(window, len(item))
+            if item_id is None or not k:
+                continue
+            parts = {tuple(item[i : i + k]) for i in range(len(item) - k + 1)}
+            for i in range(len(words) - k + 1):
+                if tuple(words[i : i + k]) in parts:
+                    hit.update(range(i, i + k))
+                    ids.add(str(item_id))
+        found.append((doc_id, len(words), len(hit), len(ids), ",".join(sorted(ids)), bool(hit) and 20 * len(hit) >= len(words)))
+    return Counter(found)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_contamination_equals_brute_force(spark, docs, texts, block):
+    items = [(7, " ".join(texts[0][1].split()[20:60])), (8, "ka"), (9, "One two, THREE four!"), (10, None), (11, "..."), (None, "ba"),
+             (12, texts[5][1].split(" ", 31)[31][:300]), (12, "é ü"), (7, "zz unknown words here")]
+    benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    found = decontaminate.contamination(docs, benchmark, block_words=block)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids), r.contaminated) for r in found.collect())
+    assert got == expected_hits(texts, items)
+    left = decontaminate.decontaminate(docs, benchmark, block_words=block)
+    assert left.columns == docs.columns and left.count() == found.where("not contaminated").count()
+
+
+def test_longest_match_and_empty_sides(spark, docs, no_docs):
+    item = " ".join(f"w{i}" for i in range(40))
+    text = "a b " + " ".join(f"w{i}" for i in range(5, 33)) + " c"
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(3, item)], "item_id long, text string")
+    row = decontaminate.contamination(one, benchmark).first()
+    assert row.n_hit == 28 and [tuple(m) for m in row.longest] == [("3", 2, 28)]
+    assert decontaminate.contamination(no_docs, benchmark).count() == 0
+    assert decontaminate.contamination(docs, benchmark.limit(0)).where("contaminated or n_hit > 0").count() == 0
+
+
+# --- mixing ---------------------------------------------------------------------------
+
+
+def test_mix_meets_targets_and_bounds(spark, docs, no_docs, texts):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(texts) and mixing.mix(no_docs).count() == 0
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in rows)
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, len((t or "").split())) for i, t in texts)
+    many = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"),
+        F.repeat(F.lit("w "), (F.col("id") % 90).cast("int")).alias("text"))
+    mixed = mixing.mix(many, block_rows=50, keep=("doc_id", "source"))
+    by = {r.source: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()}
+    assert sum(r.target for r in by.values()) == pytest.approx(1.5 * sum(r["size"] for r in by.values()))
+    assert all(abs(r.taken - r.target) <= 180 and r.target <= 2 * r["size"] for r in by.values())
+    assert sorted(mixed.collect(), key=str) == sorted(mixing.mix(many.repartition(7), block_rows=999, keep=("doc_id", "source")).collect(), key=str)
