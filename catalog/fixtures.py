@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.text import count_tokens
 from loomdex.functions.vectors import hashed_vector
-from loomdex.session import spread_small
 
 PER_FILE = 1000  # key range of one generated source file, so that a file stays small at any scale
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; texts are spread over the cores while the table is small."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(rows) if name == "documents" else rows
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_files(spark, sf) -> DataFrame:

@@ -67,11 +67,11 @@ def top(source: str, k, by: str = "query_id", rank: str = "rank") -> str:
     )
 
 
-VPACKED = f"""{VPAIRS}, hits AS ({top('pairs', 5)}),
+VPACKED = f"""{VPAIRS}, texted AS (SELECT p.* FROM pairs p JOIN vchunks c USING (chunk_id) WHERE c.text IS NOT NULL), hits AS ({top('texted', 5)}),
 packed AS (
   SELECT h.query_id, h.chunk_id, h.distance, h.rank, c.path, c.kind AS type, c.name, c.start_line, c.end_line, c.text, c.tokens,
     sum(c.tokens) OVER (PARTITION BY h.query_id ORDER BY h.rank) AS cum
-  FROM hits h JOIN vchunks c USING (chunk_id) WHERE c.text IS NOT NULL),
+  FROM hits h JOIN vchunks c USING (chunk_id)),
 fit AS (SELECT *, cum <= 1500 AS packed FROM packed)"""
 
 HEADER = (
@@ -243,6 +243,7 @@ SELECT * FROM i WHERE index_version IS NULL OR index_version < '2025-06-02'""",
     "index_full": f"""WITH {TEXT_INDEX} SELECT chunk_id, path, space, CASE space WHEN 'code' THEN 'codebert-base' ELSE 'all-MiniLM-L6-v2' END AS model,
   end_line, tokens, round(n, 6) AS norm FROM kept JOIN kv ON kv.id = kept.chunk_id""",
     "knn_exact": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
+    "knn_ann_trained": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
     "knn_filtered": f"""WITH {VPAIRS}, f AS (SELECT * FROM pairs WHERE (kind = 'class' OR label >= 8) AND space <> 'text')
 SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('f', 10)})""",
     "knn_two_spaces": f"""WITH {VPAIRS}, s AS ({top('pairs', 5, 'query_id, space', 'space_rank')})

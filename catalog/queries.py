@@ -210,7 +210,7 @@ def hit_rows(hits):
 
 
 def knn_exact(spark, sf):
-    hits = knn.nearest(fx.bare_vectors(spark, sf), fx.vector_queries(spark, sf), k=5, exclude_self=True)
+    hits = knn.nearest(index, fx.vector_queries(spark, sf), k=5, exclude_self=True)
     return hit_rows(hits.select("query_id", "chunk_id", "distance", "rank"))
 
 
@@ -239,10 +239,11 @@ def knn_ann(spark, sf):
 
 
 def knn_ann_trained(spark, sf):
+    """Trained cells, all of them probed: the exact result."""
     index = fx.bare_vectors(spark, sf)
     centres = ann.trained_centres(index, CELLS)
     hits = ann.nearest_approximate(
-        ann.with_cell(index, centres), fx.vector_queries(spark, sf), centres, k=5, probes=PROBES, exclude_self=True
+        ann.with_cell(index, centres), fx.vector_queries(spark, sf), centres, k=5, probes=CELLS, exclude_self=True
     )
     return hit_rows(hits.select("query_id", "chunk_id", "distance", "rank"))
 
@@ -267,7 +268,7 @@ def semantic_dedup(spark, sf):
 
 def vector_packed(spark, sf, budget=CONTEXT_BUDGET):
     index = fx.vector_chunks(spark, sf).where("text is not null")
-    hits = knn.nearest(fx.bare_vectors(spark, sf), fx.vector_queries(spark, sf), k=5, exclude_self=True)
+    hits = knn.nearest(index, fx.vector_queries(spark, sf), k=5, exclude_self=True)
     return packing.pack(packing.fetch_chunks(hits.drop("scope"), index), budget)
 
 

@@ -62,5 +62,4 @@ SNIFF_BYTES = 2048
 DEFAULT_K = 5
 DEFAULT_MAX_TOKENS = 8000
 EMBED_BATCH = 32
-STORE_BATCH = 100
 REQUESTS_PER_MINUTE = 60

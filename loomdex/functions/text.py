@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,22 +38,6 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\\S+")).cast("long")
 
 
-def bpe_token_counter(encoding: str = "cl100k_base") -> Callable[[Column], Column]:
-    """A token counter with a real BPE vocabulary, for use in place of ``count_tokens``.
-
-    The vocabulary must be reachable from the executors.
-    """
-
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        import tiktoken
-
-        codec = tiktoken.get_encoding(encoding)
-        return texts.map(lambda t: None if t is None else len(codec.encode(t, disallowed_special=())))
-
-    return count
-
-
 def cache_key(text: Column, model: Column) -> Column:
     """Key of the embedding cache."""
     return F.md5(F.concat(text, F.lit("-"), model))

@@ -22,13 +22,6 @@ def l2_norm(vector: Column) -> Column:
     )
 
 
-def cosine_distance(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
-    """1 - cosine; a zero vector is at distance 1 from everything."""
-    return F.when((norm_a == 0) | (norm_b == 0), F.lit(1.0)).otherwise(
-        1.0 - dot(a, b) / (norm_a * norm_b)
-    )
-
-
 def hashed_vector(text: Column, width: int = 64) -> Column:
     """Bag of tokens hashed into ``width`` buckets, wholly inside the row.
 

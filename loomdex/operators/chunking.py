@@ -58,8 +58,11 @@ def python_spans(source: str):
 # --- brace languages ------------------------------------------------------
 
 NOISE = re.compile(
-    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S
+    r'''//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`''', re.S
 )
+# a slash begins a regular expression where a value is due, elsewhere it divides
+SCRIPT_REGEX = r"(?:(?<=[=(,:;!&|?\[{}])|(?<=return))[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+SCRIPT_NOISE = re.compile(NOISE.pattern + "|" + SCRIPT_REGEX, re.S)
 LINE_NOISE = r"""//.*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
 GO_EMPTY_TYPE = re.compile(r"\b(?:interface|struct)\s*\{\s*\}")
 AT_STATEMENT = r"(?:^|(?<=[;{}]))[ \t]*(?:export\s+)?(?:default\s+)?"
@@ -70,6 +73,10 @@ JAVA_MODIFIERS = (
     r"(?:(?:public|protected|private|static|final|abstract|native|synchronized|strictfp|default)\s+)*"
 )
 
+# a type that may stand between parameters and body: names with arguments and object types, joined by | and &
+TYPE_PART = r"(?:\{[^{}]*\}|[\w$.]+(?:<(?:[^<>{};]|\{[^{}]*\}|<[^<>]*>)*>)?)(?:\[\])*"
+RETURN_TYPE = rf"\s*:\s*(?:[\w$.]+\s+is\s+)?{TYPE_PART}(?:\s*[|&]\s*{TYPE_PART})*\s*(?=\{{)"
+
 SCRIPT_HEADERS = [
     ("function_declaration", AT_STATEMENT + r"(?P<at>(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^()]*>)?\s*\()"),
     ("class_declaration", AT_STATEMENT + r"(?P<at>class\s+(?P<name>[\w$]+))"),
@@ -77,7 +84,7 @@ SCRIPT_HEADERS = [
         "method_definition",
         r"(?:^|(?<=[;{},]))[ \t]*(?P<at>(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?:\*[ \t]*)?"
         + NOT_A_NAME
-        + r"(?P<name>#?[\w$]+)\s*(?:<[^(){};]*>)?\((?:[^(){};]|\([^()]*\)|\{[^{}]*\})*\)\s*(?::[^;{}()=]+)?(?=\{))",
+        + r"(?P<name>#?[\w$]+)\s*(?:<[^(){};]*>)?\((?:[^(){};]|\([^()]*\)|\{[^{}]*\})*\)(?:" + RETURN_TYPE + r"|\s*(?=\{)))",
     ),
 ]
 HEADERS = {
@@ -93,7 +100,7 @@ HEADERS = {
             "method_declaration",
             r"(?:^|(?<=[;{}]))[ \t]*(?P<at>" + JAVA_MODIFIERS + r"(?:<[^(){};]*>\s*)?"
             + NOT_A_NAME + NOT_A_MODIFIER
-            + r"[\w.]+(?:<[^(){};]*>)?(?:\[\])*\s+(?P<name>\w+)\s*\([^(){};]*\)\s*(?:throws[\s\w.,]+)?(?=[{;]))",
+            + r"[\w.]+(?:<[^(){};]*>)?(?:\[\])*\s+(?P<name>\w+)\s*\((?:[^(){};]|\([^(){};]*\))*\)\s*(?:throws[\s\w.,]+)?(?=[{;]))",
         ),
     ],
 }
@@ -104,8 +111,13 @@ def blank(match):
 
 
 def brace_spans(source: str, language: str, headers: dict = HEADERS):
-    """Declarations of ``language`` in source order, ends found by matching braces."""
-    text = NOISE.sub(blank, source.replace("\r\n", "\n").replace("\r", "\n"))
+    """Declarations of ``language`` in source order, ends found by matching braces.
+
+    Raises where the body of a declaration has no end: the file is then better
+    one chunk than cut short.
+    """
+    script = headers[language] is SCRIPT_HEADERS
+    text = (SCRIPT_NOISE if script else NOISE).sub(blank, source.replace("\r\n", "\n").replace("\r", "\n"))
     if language == "go":
         text = GO_EMPTY_TYPE.sub(blank, text)
     closing, open_at = {}, []
@@ -126,6 +138,8 @@ def brace_spans(source: str, language: str, headers: dict = HEADERS):
     spans = []
     for start, (kind, match) in sorted(found.items()):
         body = re.compile(r"[{;]" if language == "java" else r"\{").search(text, body_from(text, match))
+        if body is not None and body.group() == "{" and body.start() not in closing:
+            raise ValueError(f"no end of {match['name']}, line {line(start)}")
         end = len(text) - 1 if body is None else closing.get(body.start(), body.start())
         spans.append((kind, match["name"], line(start), line(end)))
     return spans
@@ -137,7 +151,8 @@ def body_from(text: str, match) -> int:
     while depth > 0 and position < len(text):
         depth += {"(": 1, ")": -1}.get(text[position], 0)
         position += 1
-    return position
+    typed = re.compile(RETURN_TYPE).match(text, position)
+    return typed.end() if typed else position
 
 
 # --- the job --------------------------------------------------------------

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.operators.ann import MAX_CENTRES, sampled_centres
+from loomdex.operators.ann import centre_table, sampled_centres
 from loomdex.operators.knn import CELLS_AT_ONCE, as_matrix, exact_cosines, norms_of, slack, unit
 from loomdex.session import materialize
 
@@ -33,7 +33,7 @@ def representatives(chunks: DataFrame) -> DataFrame:
 
 def cell_visits(reps: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
     """Rows ``cell, home, chunk_id, space, embedding``: once at home, once per cell to visit."""
-    table = centres.orderBy("cell").limit(MAX_CENTRES).toArrow()
+    table = centre_table(centres)
     matrix = as_matrix(table["embedding"], len(table["embedding"][0]))
     points = unit(matrix, norms_of(matrix)).astype(np.float64)
     gaps = np.sqrt(np.maximum(2.0 - 2.0 * points @ points.T, 0.0))
@@ -69,7 +69,7 @@ def smallest_partner(visits: DataFrame, threshold: float) -> DataFrame:
         F.ceil(F.sum(F.col("home").cast("long")) / ROWS_PER_BLOCK).cast("int").alias("homes"),
         F.ceil(F.sum((~F.col("home")).cast("long")) / ROWS_PER_BLOCK).cast("int").alias("guests"),
     )
-    # one row per space and centre, of which there are at most MAX_CENTRES
+    # one row per space and centre, and those fit the broadcast that made them
     sized = visits.join(F.broadcast(blocks), ["space", "cell"]).where("homes > 0")
 
     def own(n):
@@ -121,15 +121,22 @@ def smallest_partner(visits: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(chunks: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
     """``chunk_id, duplicate_of`` of every chunk that a smaller near-equal id makes redundant.
 
-    Near-equal: same space and cosine >= ``threshold``. Zero vectors equal nothing.
+    Near-equal: same space and width, and cosine >= ``threshold``. Zero vectors equal nothing.
     ``cells`` grows with the number of distinct vectors unless given.
     """
     rows = chunks.select("chunk_id", "space", "embedding").where(
         F.exists("embedding", lambda v: v != 0)
     )
     reps = materialize(representatives(rows), "representatives")
-    cells = cells or max(1, min(MAX_CENTRES, reps.count() // VECTORS_PER_CELL))
-    partner = smallest_partner(cell_visits(reps, sampled_centres(reps, cells), threshold), threshold)
+    partner = None
+    for kind in reps.groupBy("space", F.size("embedding").alias("width")).agg(F.count("*").alias("n")).collect():
+        alike = reps.where((F.col("space").eqNullSafe(F.lit(kind.space))) & (F.size("embedding") == kind.width))
+        count = cells or max(1, kind.n // VECTORS_PER_CELL)
+        visits = materialize(cell_visits(alike, sampled_centres(alike, count), threshold), "visits")
+        found = smallest_partner(visits, threshold)
+        partner = found if partner is None else partner.unionByName(found)
+    if partner is None:
+        return rows.select("chunk_id", F.col("chunk_id").alias("duplicate_of")).limit(0)
     resolved = reps.join(partner, "chunk_id", "left").select(
         "space", "embedding", F.least("chunk_id", "duplicate_of").alias("duplicate_of")
     )

@@ -3,13 +3,14 @@
 The index is read once and never shuffled: every task holds the (checked,
 bounded) query matrix, multiplies it with each Arrow batch of vectors and keeps
 the best k per query. Only those candidates are shuffled, by query. Query sets
-past the bound meet the index in a block join instead.
+past the bound are cut into slices within it, each of which reads the index.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,15 +21,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions.constants import DEFAULT_K
-from loomdex.operators.filters import compile_filter, metadata_filter
+from loomdex.operators.filters import columns_of, compile_filter, metadata_filter
+from loomdex.session import materialize
 
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_BYTES = 128 << 20
-QUERIES_PER_BLOCK = 16384
-VECTORS_PER_BLOCK = 32768
 CELLS_AT_ONCE = 4 << 20  # similarities held at one time
 EXACT_AT_ONCE = 1 << 16  # pairs recomputed at one time
-FILTER_COLUMNS = ("path", "type", "kind", "name", "lang", "start_line", "end_line")
+CARRIED = "where_"  # before the names of columns that only filters read
 
 
 @dataclass
@@ -38,7 +38,7 @@ class QueryBlock:
     ids: pa.Array  # distinct query ids
     k: np.ndarray  # per distinct query
     owner: np.ndarray  # query row -> distinct query
-    vectors: dict  # width -> (matrix, norms)
+    vectors: dict  # width -> (matrix, norms, unit vectors)
     place: np.ndarray  # query row -> row of its width's matrix
     lanes: dict  # scope or None -> {(where, width): query rows}
 
@@ -53,7 +53,8 @@ class QueryBlock:
         for width in np.unique(widths):
             at = np.flatnonzero(widths == width)
             matrix = as_matrix(rows["embedding"].take(pa.array(at)), int(width))
-            vectors[int(width)] = matrix, norms_of(matrix)
+            norms = norms_of(matrix)
+            vectors[int(width)] = matrix, norms, unit(matrix, norms)
             place[at] = np.arange(len(at))
         lanes = {}
         wheres = rows["where"].to_pylist()
@@ -71,6 +72,8 @@ def as_matrix(lists, width: int) -> np.ndarray:
     flat = pc.list_flatten(lists)
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
+    if len(flat) != len(lists) * width or (pc.list_value_length(lists).to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError(f"vectors of other widths than {width} among the rows")
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
@@ -130,7 +133,7 @@ class BestSoFar:
         ids = batch["chunk_id"].to_pandas()
         scopes = batch["scope"].to_pandas()
         widths = pc.list_value_length(batch["embedding"]).to_numpy(zero_copy_only=False)
-        columns = pd.DataFrame({c: batch[c].to_pandas() for c in FILTER_COLUMNS if c in batch.schema.names})
+        columns = {c.removeprefix(CARRIED): batch[c].to_pandas() for c in batch.schema.names if c.startswith(CARRIED)}
         masks, frames = {}, []
         for scope, at in scopes.groupby(scopes).indices.items():
             for lane in (self.block.lanes.get(scope), self.block.lanes.get(None)):
@@ -146,14 +149,14 @@ class BestSoFar:
         self.offer(frames)
 
     def candidates(self, scope, ids, rows, vectors, queries, width):
-        matrix, query_norms = self.block.vectors[width]
+        matrix, query_norms, query_units = self.block.vectors[width]
         norms = norms_of(vectors)
         units = unit(vectors, norms)
         step = max(1, CELLS_AT_ONCE // len(rows))
         for i in range(0, len(queries), step):
             part = queries[i : i + step]
             place, owner = self.block.place[part], self.block.owner[part]
-            sims = units @ unit(matrix[place], query_norms[place]).T
+            sims = units @ query_units[place].T
             needed = self.cut(scope)[owner].copy()
             open_ = np.flatnonzero(np.isneginf(needed))
             most = int(self.block.k[owner].max())
@@ -188,15 +191,20 @@ class BestSoFar:
         )
 
 
-def filter_mask(where: str, columns: pd.DataFrame, size: int) -> np.ndarray:
-    """Rows that pass a query's own filter; one that fits no column matches nothing."""
-    try:
-        mask = compile_filter(json.loads(where), lambda name: columns[name])
-    except (KeyError, TypeError, ValueError):
-        return np.zeros(size, dtype=bool)
+def filter_mask(where: str, columns: dict, size: int) -> np.ndarray:
+    """Rows that pass a query's own filter."""
+    mask = compile_filter(json.loads(where), lambda name: columns[name])
     return np.ones(size, dtype=bool) if mask is None else mask.to_numpy(dtype=bool)
 
 
+def filter_columns(wheres, known: list[str]) -> list[str]:
+    """The columns that the queries' own filters name; one the index lacks is an error."""
+    named = set().union(*(columns_of(json.loads(w)) for w in set(wheres) if w is not None))
+    if missing := sorted(named - set(known)):
+        raise ValueError(f"the index has no column {missing[0]!r} to filter on")
+    return sorted(named)
+
+
 def query_rows(queries: DataFrame, k: int, extra: int) -> DataFrame:
     """Fill in the optional columns ``k``, ``scopes`` (null = all) and ``where`` (JSON)."""
     have = set(queries.columns)
@@ -210,12 +218,14 @@ def query_rows(queries: DataFrame, k: int, extra: int) -> DataFrame:
     ).where("k > 0")
 
 
-def collect_if_small(rows: DataFrame) -> pa.Table | None:
-    """All rows if they are few and small enough to broadcast, else None."""
-    if rows.count() > MAX_BROADCAST_QUERIES:
-        return None
-    table = rows.toArrow()
-    return table if table.nbytes <= MAX_BROADCAST_BYTES else None
+def slices(rows: DataFrame) -> list[DataFrame]:
+    """``rows`` in parts that are few and small enough to broadcast; a query's rows stay together."""
+    n, components = rows.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    parts = max(-(-n // MAX_BROADCAST_QUERIES), -(-(components or 0) * 20 // MAX_BROADCAST_BYTES), 1)
+    if parts == 1:
+        return [rows]
+    stored = materialize(rows, "queries")
+    return [stored.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def scan_with_broadcast(vectors: DataFrame, table: pa.Table, per_scope: bool, schema: str) -> DataFrame:
@@ -233,31 +243,6 @@ def scan_with_broadcast(vectors: DataFrame, table: pa.Table, per_scope: bool, sc
     return vectors.mapInArrow(run, schema)
 
 
-def block_join(vectors: DataFrame, rows: DataFrame, per_scope: bool, schema: str) -> DataFrame:
-    """Every block of queries meets every block of vectors once, in a task of bounded size."""
-    query_blocks = max(1, -(-rows.count() // QUERIES_PER_BLOCK))
-    vector_blocks = max(1, -(-vectors.count() // VECTORS_PER_BLOCK))
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def block(column, n):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    left = rows.withColumn("qb", block("query_id", query_blocks)).withColumn("vb", every(vector_blocks))
-    right = vectors.withColumn("vb", block("chunk_id", vector_blocks)).withColumn("qb", every(query_blocks))
-
-    def meet(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        best = BestSoFar(QueryBlock.of(queries), per_scope)
-        if chunks.num_rows and queries.num_rows:
-            for batch in chunks.combine_chunks().to_batches(max_chunksize=8192):
-                best.scan(batch)
-        return pa.Table.from_batches([best.result(chunks.schema.field("chunk_id").type)])
-
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, schema)
-
-
 def nearest(
     index: DataFrame,
     queries: DataFrame,
@@ -275,20 +260,19 @@ def nearest(
     """
     rows = query_rows(queries, k, 1 if exclude_self else 0)
     wanted = metadata_filter(index, where)
-    carried = [c for c in FILTER_COLUMNS if c in index.columns and "where" in queries.columns]
-    vectors = wanted.select("chunk_id", F.col(scope).cast("string").alias("scope"), "embedding", *carried)
-    types = {f.name: f.dataType.simpleString() for f in [*rows.schema, *vectors.schema]}
-    schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, scope string, distance double, k int"
-    table = collect_if_small(rows)
-    if table is None:
-        found = block_join(vectors, rows, per_scope, schema)
-    else:
+    parts = []
+    for rows in slices(rows):
+        table = rows.toArrow()
+        own = filter_columns(table["where"].to_pylist(), index.columns)
+        carried = [F.col(c).alias(CARRIED + c) for c in own]
+        vectors = wanted.select("chunk_id", F.col(scope).cast("string").alias("scope"), "embedding", *carried)
+        types = {f.name: f.dataType.simpleString() for f in [*rows.schema, *vectors.schema]}
+        schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, scope string, distance double, k int"
         scopes = table["scopes"].combine_chunks()
-        if scopes.null_count == 0:
-            probed = scopes.flatten().unique().to_pylist()
-            if len(probed) <= 1000:  # lets a partitioned index skip all other folders
-                vectors = vectors.where(F.col("scope").isin(probed))
-        found = scan_with_broadcast(vectors, table, per_scope, schema)
+        if scopes.null_count == 0:  # lets a partitioned index skip all other folders
+            vectors = vectors.where(F.col("scope").isin(scopes.flatten().unique().to_pylist()))
+        parts.append(scan_with_broadcast(vectors, table, per_scope, schema))
+    found = reduce(DataFrame.unionAll, parts)
     if exclude_self:
         found = found.where("cast(query_id as string) <> cast(chunk_id as string)").withColumn("k", F.col("k") - 1)
     return ranked(found, ["query_id", "scope"] if per_scope else ["query_id"])

@@ -43,16 +43,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomdex-{uuid.uuid4().hex}"
 
 
-def spread_small(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
-    """Spread a small table over all cores before costly work on its rows.
-
-    A table with enough rows for every core already has its splits and is not
-    shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.count() < cores * rows_per_task else df
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from loomdex.operators import chunking
+from loomdex.operators.chunking import brace_spans
 
 
 def chunks_of(spark, path, content):
@@ -14,10 +15,10 @@ def names(rows):
 
 
 def test_python_class_and_function_but_no_method(spark):
-    code = "class Foo:\n    def bar(self):\n        return 1\n\ndef baz(x, y):\n    return x + y\n"
+    code = "class Loom:\n    width = 3\n\n    def weave(self, n):\n        return n * self.width\n\n\ndef spin(*threads, twist=2):\n    return [t * twist for t in threads]\n"
     rows = chunks_of(spark, "fake.py", code)
-    assert names(rows) == [("class", "Foo", 1, 3), ("function", "baz", 5, 6)]
-    assert rows[1][4] == "def baz(x, y):\n    return x + y"
+    assert names(rows) == [("class", "Loom", 1, 5), ("function", "spin", 8, 9)]
+    assert rows[1][4] == "def spin(*threads, twist=2):\n    return [t * twist for t in threads]"
 
 
 def test_python_nesting(spark):
@@ -198,3 +199,27 @@ def test_outermost_and_depth_with_small_blocks(spark):
     for block in (2, 4096):
         depths = {r["line_no"]: r["depth"] for r in chunking.brace_depth(files, block).collect()}
         assert depths == {1: 1, 2: 1, 3: 0, 4: 1}
+
+
+def test_brace_shapes_that_hide_braces():
+    java = (
+        "class Loom {\n  @Get\n  public String find(@Param(\"q\") String q, int n) {\n    String t = \"\"\"\n  } { \"x\"\n\"\"\";\n"
+        "    return q;\n  }\n  int two() { return 2; }\n}\n"
+    )
+    assert brace_spans(java, "java") == [
+        ("class_declaration", "Loom", 1, 10), ("method_declaration", "find", 2, 8),
+        ("method_declaration", "two", 9, 9)]
+    script = "function open(x) {\n  return /{/.test(x);\n}\nconst r = a / b / c;\nfunction shut() {\n  return 1\n}\n"
+    assert brace_spans(script, "javascript") == [("function_declaration", "open", 1, 3), ("function_declaration", "shut", 5, 7)]
+    typed = (
+        "function f(): { a: number } {\n  return {a: 1};\n}\nclass K {\n  m(): Promise<{ b: string }> {\n    return go();\n  }\n"
+        "  n(): number { return 1 }\n}\n"
+    )
+    assert brace_spans(typed, "typescript") == [
+        ("function_declaration", "f", 1, 3), ("class_declaration", "K", 4, 9), ("method_definition", "m", 5, 7),
+        ("method_definition", "n", 8, 8)]
+
+
+def test_unbalanced_braces_give_the_whole_file(spark):
+    rows = chunks_of(spark, "x.js", "function cut() {\n  if (a) {\n}\nlast();\n")
+    assert len(rows) == 1 and "last();" in rows[0][4]

@@ -12,6 +12,7 @@ from loomdex import Indexer, Searcher
 from loomdex.functions.constants import CODE_MODEL
 from loomdex.operators import embedding, logs, tables
 from loomdex.operators.ranking import jaccard
+from loomdex.plans import indexer as indexer_module
 from loomdex.plans.cells import CellIndex
 from loomdex.sources import requests
 from loomdex.streaming import jobs
@@ -61,8 +62,8 @@ def test_full_run_twice_is_one(spark, indexer):
 
 def test_incremental_equals_full_after_changes(spark, indexer, tmp_path):
     indexer.index_full(files(spark, FIRST))
-    assert indexer.index_incremental(files(spark, FIRST)) == {"run": 2, "files": 0, "deleted": 0, "chunks": 0}
-    assert indexer.index_incremental(files(spark, SECOND)) == {"run": 3, "files": 2, "deleted": 1, "chunks": 2}
+    assert indexer.index_incremental(files(spark, FIRST)) == {"run": 1, "files": 0, "deleted": 0, "chunks": 0}
+    assert indexer.index_incremental(files(spark, SECOND)) == {"run": 2, "files": 2, "deleted": 1, "chunks": 2}
     assert snapshot(indexer.store.vectors()) == snapshot(indexer.store.chunks()) == AFTER
     state = {r["path"]: r["mtime"] for r in indexer.store.file_state().collect()}
     assert set(state) == {"a.py", "b.py", "d.js"} and state["a.py"] == T0 + dt.timedelta(hours=1)
@@ -89,7 +90,7 @@ def test_refresh_reads_changed_files_only(spark, indexer, tmp_path):
     (project / "d.py").write_text("def d(): pass\n")
     assert indexer.refresh(str(project)) == {"run": 2, "files": 2, "deleted": 2, "chunks": 2}
     assert sorted(r["name"] for r in indexer.store.vectors().collect()) == ["a2", "d"]
-    assert indexer.refresh(str(project)) == {"run": 3, "files": 0, "deleted": 0, "chunks": 0}
+    assert indexer.refresh(str(project)) == {"run": 2, "files": 0, "deleted": 0, "chunks": 0}
 
 
 def test_failed_run_leaves_no_trace(spark, indexer):
@@ -136,22 +137,22 @@ def test_pandas_embedder_sees_each_text_once(spark, tmp_path):
 
 
 def test_store_round_trip(spark, indexer):
-    indexer.index_full(files(spark, {"foo.py": ("hello world", 0)}))
+    indexer.index_full(files(spark, {"notes/warp.md": ("long threads cross short ones", 0)}))
     assert indexer.store.vectors().count() == 1
-    hit = Searcher.of(indexer.store).search("hello world", k=1).first()
-    assert hit["text"] == "hello world" and abs(hit["distance"]) < 1e-12
+    hit = Searcher.of(indexer.store).search("long threads cross short ones", k=1).first()
+    assert hit["text"] == "long threads cross short ones" and abs(hit["distance"]) < 1e-12
 
 
 def test_index_and_search_end_to_end(spark, indexer, tmp_path):
     project = tmp_path / "project"
     project.mkdir()
-    (project / "foo.py").write_text('def add(a, b):\n    """Return sum"""\n    return a + b\n')
+    (project / "knots.py").write_text('def tie(rope, knot="reef"):\n    # tie a rope with a knot\n    return f"{rope}:{knot}"\n')
     indexer.index_full(indexer.scan(str(project)))
     searcher = Searcher.of(indexer.store)
-    answer = searcher.context("sum of two numbers", k=3, max_tokens=1000).first()
-    assert "Name: add, Lines: 1-3" in answer["content"] and answer["tokens"] == 9
+    answer = searcher.context("tie a rope", k=3, max_tokens=1000).first()
+    assert "Name: tie, Lines: 1-3" in answer["content"] and answer["tokens"] == 12
     assert searcher.context("x", metadata_filter={"type": "class"}).first()["content"] == ""
-    assert [r["event"] for r in searcher.stream_events("sum").orderBy("seq").collect()] == ["chunk", "end"]
+    assert [r["event"] for r in searcher.stream_events("rope").orderBy("seq").collect()] == ["chunk", "end"]
 
 
 def test_cells_with_all_probes_equal_the_exact_search(spark, indexer, tmp_path):
@@ -317,3 +318,65 @@ def test_late_feedback_is_dropped(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     rows = [tuple(r)[1:] for r in spark.read.parquet(out).where("query_id = 1").collect()]
     assert rows == [(1, 1, 1, 1, 2)]
+
+
+def test_a_file_that_cannot_be_read_keeps_its_chunks(spark, indexer, tmp_path, monkeypatch):
+    project = tmp_path / "project"
+    project.mkdir()
+    for name in ("a.md", "b.md"):
+        (project / name).write_text(f"first text of {name}")
+    indexer.refresh(str(project))
+    later = (project / "a.md").stat().st_mtime + 5
+    for name in ("a.md", "b.md"):
+        (project / name).write_text(f"second text of {name}")
+        os.utime(project / name, (later, later))
+    real = indexer_module.read_contents
+
+    def failing(listing):
+        rows, bad = real(listing), F.col("path").endswith("a.md")
+        return rows.withColumn("content", F.when(~bad, F.col("content"))).withColumn("error", F.when(bad, "OSError: no"))
+
+    monkeypatch.setattr(indexer_module, "read_contents", failing)
+    report = indexer.refresh(str(project))
+    assert report["deleted"] == 0
+    assert sorted(r.text for r in indexer.store.chunks().select("text").collect()) == ["first text of a.md", "second text of b.md"]
+    monkeypatch.setattr(indexer_module, "read_contents", real)
+    runs = len(indexer.store.commits())
+    assert indexer.refresh(str(project))["chunks"] == 1
+    assert indexer.refresh(str(project))["chunks"] == 0 and len(indexer.store.commits()) == runs + 1
+
+
+def test_nothing_is_deleted_after_a_listing_with_errors(spark, indexer, tmp_path, monkeypatch):
+    project = tmp_path / "project"
+    project.mkdir()
+    (project / "a.md").write_text("a text")
+    (project / "b.md").write_text("another text")
+    indexer.refresh(str(project))
+    (project / "b.md").unlink()
+    real = indexer_module.unlisted
+    monkeypatch.setattr(indexer_module, "unlisted", lambda spark, root: spark.createDataFrame([(root + "/closed",)], "path string"))
+    assert indexer.refresh(str(project))["deleted"] == 0 and indexer.store.chunks().count() == 2
+    with pytest.raises(OSError):
+        indexer.refresh(str(project), suppress_errors=False)
+    monkeypatch.setattr(indexer_module, "unlisted", real)
+    assert indexer.refresh(str(project))["deleted"] == 1 and indexer.store.chunks().count() == 1
+
+
+def test_rerank_keeps_each_querys_own_k(spark, indexer):
+    indexer.index_full(files(spark, {f"{i}.md": (f"thread {i} of the loom", 0) for i in range(70)}))
+    queries = spark.createDataFrame([(1, "thread of the loom", 60), (2, "loom", 2)], "query_id bigint, text string, k int")
+    hits = Searcher.of(indexer.store).hits(queries, scorer=jaccard, candidates=5)
+    assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 60, 2: 2}
+
+
+def test_filters_of_queries_and_of_the_whole_search_agree(spark, indexer):
+    kinds = {"a.py": "def f():\n    return 1\n", "b.js": "function g() {\n  return 2;\n}\n", "c.md": "plain words"}
+    indexer.index_full(files(spark, {name: (text, 0) for name, text in kinds.items()}))
+    searcher = Searcher.of(indexer.store)
+    for where in ({"lang": {"$ne": "python"}}, {"lang": {"$nin": ["javascript"]}}, {"lang": None}, {"model": {"$ne": None}},
+                  {"space": "text"}, {"tokens": {"$lt": 3}}, {"$and": [{}]}, {"$or": [{}, {"lang": "python"}]}, {"lang": {"$in": ["python", None]}}):
+        own = spark.createDataFrame([(0, "f", json.dumps(where))], "query_id bigint, text string, where string")
+        whole = sorted(r.chunk_id for r in searcher.hits("f", 10, where).collect())
+        assert sorted(r.chunk_id for r in searcher.hits(own, 10).collect()) == whole, where
+    lines = spark.createDataFrame([(1, json.dumps({"type": "context", "query": "f", "metadata_filter": {"nothing": 1}}))], "line_no bigint, value string")
+    assert json.loads(searcher.replies(lines).first().reply) == {"status": "error", "message": "Invalid 'metadata_filter' field"}

@@ -28,13 +28,11 @@ def make_queries(spark, n=23, width=6, seed=2):
     return spark.createDataFrame(rows, "query_id bigint, embedding array<float>"), dict(rows)
 
 
-@pytest.fixture(params=["broadcast", "blocks"])
+@pytest.fixture(params=["whole", "slices"])
 def either_way(request, monkeypatch):
-    """The broadcast scan, and the block join used beyond the broadcast bound."""
-    if request.param == "blocks":
-        monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 0)
-        monkeypatch.setattr(knn, "QUERIES_PER_BLOCK", 9)
-        monkeypatch.setattr(knn, "VECTORS_PER_BLOCK", 70)
+    """All queries at once, and in slices as beyond the broadcast bound."""
+    if request.param == "slices":
+        monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 5)
 
 
 def test_exact_equals_brute_force_with_ties(spark, either_way):
@@ -62,7 +60,7 @@ def test_own_k_scopes_and_filters(spark, either_way):
     _, asked = make_queries(spark)
     k = {q: 1 + q % 4 for q in asked}
     scopes = {q: [["code"], ["text"], None][q % 3] for q in asked}
-    where = {q: [None, {"kind": "class"}, {"start_line": {"$lt": 200}}, {"nothing": 1}][q % 4] for q in asked}
+    where = {q: [None, {"kind": "class"}, {"start_line": {"$lt": 200}}, {"kind": {"$nin": ["class", "function", "file"]}}][q % 4] for q in asked}
     queries = spark.createDataFrame(
         [(q, asked[q], k[q], scopes[q], where[q] and json.dumps(where[q])) for q in asked],
         "query_id bigint, embedding array<float>, k int, scopes array<string>, where string",
@@ -221,3 +219,22 @@ def test_event_text_round_trip(spark):
     assert got == [("chunk", '{"content": "A"}'), ("end", "5")] + [("raw", t) for t in texts[2:]]
     made = spark.range(1).select(packing.event_text(F.lit("end"), F.lit('{"tokens":5}'))).first()[0]
     assert made == 'event: end\ndata: {"tokens":5}\n\n'
+
+
+def test_near_duplicates_of_several_widths_and_of_nothing(spark):
+    rows = [("a", "code", [1.0, 0.0, 0.0, 0.0]), ("b", "code", [1.0, 0.01, 0.0, 0.0]), ("c", "text", [1.0, 0.0] * 4), ("d", "text", [1.0, 0.0] * 4)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, space string, embedding array<float>")
+    assert sorted(dedup.near_duplicates(chunks, 0.9).collect()) == [("b", "a"), ("d", "c")]
+    assert dedup.near_duplicates(chunks.limit(0), 0.9).count() == 0
+    assert ann.with_cell(chunks.limit(0), ann.sampled_centres(chunks.limit(0), 4)).count() == 0
+
+
+def test_more_centres_than_once_were_kept(spark):
+    n = 5000
+    points = spark.range(n).select(
+        F.format_string("%05d", "id").alias("chunk_id"),
+        F.array(F.cos(F.col("id") * 0.00125), F.sin(F.col("id") * 0.00125)).cast("array<float>").alias("embedding"))
+    centres = points.select(F.col("chunk_id").alias("cell"), "embedding")
+    placed = ann.with_cell(points.where("chunk_id >= '04990'"), centres)
+    assert all(abs(int(r.cell) - int(r.chunk_id)) <= 1 for r in placed.collect())
+    assert ann.trained_centres(points, 1).count() == 1
