@@ -6,8 +6,8 @@ that agree on a band share a bucket. In the first rounds every member of a bucke
 compared with one leader of the bucket only, if it is not in the leader's
 component yet; that ties groups of any size with a few pairs a member. The last
 round looks at the pairs of a bucket that are still in different components;
-there large buckets are cut into blocks, and pairs of blocks are compared in
-NumPy, emitting survivors only. Together the rounds test every pair of every
+there large buckets are cut into blocks, and pairs of blocks are compared and
+verified in NumPy, so that links come out and not pairs. Together the rounds test every pair of every
 bucket that is not already tied.
 
 A test reads the signatures batch by batch. After each batch the pair is
@@ -139,7 +139,7 @@ def survive(a: np.ndarray, b: np.ndarray, threshold: float, batch: int, miss: fl
     return kept
 
 
-def signatures(column: pd.Series) -> np.ndarray:
+def signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), -1)
 
 
@@ -155,21 +155,44 @@ def pruned(pairs: DataFrame, classes: DataFrame, threshold: float, batch: int, m
     return pairs.join(one, "a").join(two, "b").where(passes("_sa", "_sb")).select("a", "b")
 
 
-def block_survivors(threshold: float, batch: int, miss: float):
-    """Pairs of one pair of blocks that are in different components and pass the test; one block row at a time."""
+def first_band(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """The first band on which each pair of signature rows agrees."""
+    return (a == b).reshape(len(a), a.shape[1] // rows, rows).all(2).argmax(1)
+
+
+def block_links(threshold: float, batch: int, miss: float, rows: int, percent: int):
+    """One pair of blocks of a bucket to links (a, b) between different components, decided on full sets.
+
+    A pair that shares several buckets is looked at in that of its first common
+    band. A row of the one block gives a link a component of the other at most.
+    """
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
+        side, band = group.column("side").to_numpy(), group.column("band").to_numpy()
         sets, part = group.column("set").to_numpy(), group.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(sets), -1)
+        sig = signatures(group.column("signature").to_pylist())
+        lists = group.column("hashes").combine_chunks()
+        flat, size = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+        end = np.cumsum(size)
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)  # 0: a block with itself
         a, b = [], []
         for i in left:
             other = right[(part[right] != part[i]) & ((side[i] < 0) | (sets[right] > sets[i]))]
-            if len(other):
-                found = other[survive(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], threshold, batch, miss)]
-                a += [sets[i]] * len(found)
-                b += sets[found].tolist()
+            if not len(other):
+                continue
+            mine = np.broadcast_to(sig[i], (len(other), sig.shape[1]))
+            other = other[survive(mine, sig[other], threshold, batch, miss)]
+            other = other[first_band(mine[: len(other)], sig[other], rows) == band[i]]
+            if not len(other):
+                continue
+            whole, theirs = flat[end[i] - size[i] : end[i]], [flat[end[j] - size[j] : end[j]] for j in other]
+            met = np.concatenate(theirs)
+            same = whole[np.minimum(np.searchsorted(whole, met), len(whole) - 1)] == met
+            both = np.add.reduceat(same.astype(np.int64), np.cumsum(size[other]) - size[other])
+            linked = other[100 * both >= percent * (size[i] + size[other] - both)]
+            _, once = np.unique(part[linked], return_index=True)
+            a += [sets[i]] * len(once)
+            b += sets[linked[once]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -236,7 +259,7 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
         F.col("_key.doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_key._text") == F.col("rep.text")))
     classes = stored(classes.dropDuplicates(["set"]).select("set", "rep", "signature"), "classes")
 
-    shared = found.where("set is not null").select("set", F.explode("bands").alias("bucket")).distinct()
+    shared = found.where("set is not null").select("set", F.posexplode("bands").alias("band", "bucket")).distinct()
     members = stored(shared, "members")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = narrow(buckets, "buckets")
@@ -244,8 +267,7 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
     placed = narrow(members.join(buckets, "bucket").withColumn("component", F.col("set")), "placed")
 
     # full sets of the classes in surviving pairs; a text is read again once, and only where a new class turns up
-    def sets_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    def sets_of(needed: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is not None:
             needed = narrow(needed.join(known.select("set"), "set", "left_anti"), "needed")
             if needed.isEmpty():
@@ -270,13 +292,13 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
         tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty() and tied is not None:
             return
-        sets = sets_of(pairs, sets)
+        sets = sets_of(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), sets)
         more = narrow(verified(pairs, sets, percent), "links")
         if more.isEmpty() and tied is not None:
             return
         links = more if links is None else links.union(more)
         tied = narrow(components(links), "parts")
-        now = placed.select("bucket", "set", "n").join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn(
+        now = placed.select("bucket", "band", "set", "n").join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn(
             "component", F.coalesce("component", "set"))
         now = narrow(now, "now")
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
@@ -293,12 +315,15 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
     # the pairs of what is still mixed: a bucket of two has been tested, larger ones are compared block by block
     rest = placed.where("n > 2").withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
     rest = rest.withColumn("_mine", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
+    sets = sets_of(rest.select("set").distinct(), sets)
     paired = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
-        "bucket", "set", "component", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
+        "bucket", "band", "set", "component", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
         F.signum(F.col("_mine") - F.col("_other")).cast("int").alias("side"))
-    last = paired.join(classes.select("set", "signature"), "set").groupBy("bucket", "_i", "_j").applyInArrow(
-        block_survivors(threshold, batch, miss), "a long, b long")
-    settle(narrow(untested(last, tested), "pairs"))
+    last = paired.join(classes.select("set", "signature"), "set").join(sets, "set").groupBy("bucket", "_i", "_j").applyInArrow(
+        block_links(threshold, batch, miss, rows, percent), "a long, b long")
+    last = narrow(last, "links")
+    if not last.isEmpty():
+        tied = narrow(components(links.union(last)), "parts")
 
     whole = classes.select("set", F.col("rep.doc_id").alias("_id")).join(tied.withColumnRenamed("node", "set"), "set")
     smallest = narrow(whole.groupBy("component").agg(F.min("_id").alias("_least")), "smallest")
