@@ -135,14 +135,19 @@ def plain_labels(described_rows: DataFrame) -> DataFrame:
     """
     value = F.col("value")
     plain = value.rlike("^([A-Za-z][a-z]*|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") | (F.col("assigned") == 0)
-    proven = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("transitions") >= 0.2) & (F.col("digits") > 0.1)
-    return described_rows.withColumn("label", F.when(proven, 1).when(plain, 0))
+    return described_rows.withColumn("label", F.when(proven(), 1).when(plain, 0))
+
+
+def proven() -> Column:
+    """In quotes after an assignment to a telling name, and mixed of digits and letters."""
+    announced = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
+    return announced & (F.col("transitions") >= 0.2) & (F.col("digits") > 0.1)
 
 
 def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Add ``probability`` that a described candidate is a secret; without a model all stay (1.0)."""
+    """Add ``probability`` that a described candidate is a secret; without a model 1 for proven ones and 0 for all others."""
     if model is None:
-        return found.withColumn("probability", F.lit(1.0))
+        return found.withColumn("probability", proven().cast("double"))
     out = model.transform(assembled(found)).withColumn("probability", vector_to_array("probability")[1])
     return out.drop("features", "rawPrediction", "prediction")
 
