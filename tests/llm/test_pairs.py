@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from loomdex.llm import minhash, substring, vectors
 from loomdex.llm.graph import components
