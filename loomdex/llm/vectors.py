@@ -2,10 +2,11 @@
 
 Equal vectors are one class from the start. Every class lives in the cell of
 its nearest centre and visits those lower-numbered cells that could hold a
-partner; so a pair of two cells is looked at once, in the lower one. How far a
-visit reaches follows from how far a partner can lie from the border of two
-cells: by ``z`` standard deviations of a partner at the threshold in a random
-direction. ``z=None`` takes the bound that holds for every pair instead.
+partner; so a pair of two cells is looked at once, in the lower one. A visit is
+left out only where no partner can be: the border of the two cells is further
+away than any partner, or the partner's cell does not reach so far from its
+centre. ``z`` shortens the reach to the border to so many standard deviations
+of a partner at the threshold in a random direction, and may miss links.
 
 In a cell, residents are dealt to blocks and visitors (other cells' vectors and
 the residents themselves) to chunks, both of bounded size. A group is one
@@ -32,8 +33,6 @@ COSINE = 0.9
 CELL, MAX_CELLS = 512, 4096
 #: Vectors per centre in the sample that trains the centres, and the rounds of training.
 SAMPLE, ROUNDS = 32, 8
-#: Standard deviations between a pair's halves that a visit allows for: about one pair in a thousand right at the threshold is missed.
-REACH = 3.1
 BLOCK, CHUNK = 1024, 4096
 
 
@@ -66,8 +65,31 @@ def train(sample: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
-def cells(centres: dict[int, np.ndarray], cosine: float, z: float | None):
-    """(class id, vector) to (class id, unit vector bytes, home, visits); cells of one width share a number range."""
+def homes(centres: dict[int, np.ndarray]):
+    """Vectors to (width, home, near, far): a row for each cell met in a batch, the largest and smallest cosine to its centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            vectors = matrix(batch.column(0))
+            for width in sorted({len(v) for v in vectors if v is not None}):
+                block = np.array([unit(v) for v in vectors if v is not None and len(v) == width])
+                dots = block @ centres[width].astype(np.float64).T
+                home = dots.argmax(1)
+                best = dots[np.arange(len(home)), home]
+                rows += [(width, int(h), best[home == h].max(), best[home == h].min()) for h in np.unique(home)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.float64(), pa.float64()))],
+                ["width", "home", "near", "far"])
+
+    return run
+
+
+def cells(centres: dict[int, np.ndarray], rings: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float, z: float | None):
+    """(class id, vector) to (class id, unit vector bytes, home, visits); cells of one width share a number range.
+
+    ``rings`` has for each width the least and the greatest angle of a cell's vectors to its centre.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,6 +108,10 @@ def cells(centres: dict[int, np.ndarray], cosine: float, z: float | None):
                     chord = min(chord, z * np.sqrt(1 - cosine**2) / np.sqrt(width - 1) / cosine)
                 lead = dots[np.arange(len(rows)), home][:, None] - dots
                 may = (lead <= chord * apart[home] + 1e-9) & (np.arange(len(own)) < home[:, None])
+                # the angle between vectors is a distance: a partner's own angle to its centre differs by theirs at most
+                angle, reach = np.arccos(np.clip(dots, -1, 1)), np.arccos(min(1.0, cosine)) + 1e-6
+                inner, outer = rings[width]
+                may &= (angle <= outer + reach) & (angle >= inner - reach)
                 ids += batch.column(0).take(pa.array(rows)).to_pylist()
                 units += [u.tobytes() for u in block]
                 homes += [f"{width}:{h}" for h in home]
@@ -130,7 +156,7 @@ def linked(cosine: float):
 
 
 def similar_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, max_cells: int = MAX_CELLS,
-                    sample: int = SAMPLE, rounds: int = ROUNDS, z: float | None = REACH,
+                    sample: int = SAMPLE, rounds: int = ROUNDS, z: float | None = None,
                     block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
@@ -143,8 +169,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     that has another one. An empty table gives no rows; other columns are ignored.
 
     Centres are trained on at most ``sample`` vectors per centre; every vector is
-    assigned. With ``z`` links near the border of two cells may be missed (see
-    above); with ``z=None`` none is.
+    assigned. No link is missed unless ``z`` is given (see above).
     """
     as_double = F.transform("embedding", lambda x: x.cast("double"))
     good = F.coalesce(
@@ -165,7 +190,15 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
         drawn = one.where(F.size("vector") == width).orderBy(F.xxhash64("node"), "node").limit(sample * k)
         units = np.array([unit(np.array(r.vector)) for r in drawn.select("vector").toLocalIterator()])
         centres[width] = train(units, k, rounds).astype(np.float32)
-    placed = one.mapInArrow(cells(centres, cosine, z), "node long, unit binary, home string, visits array<string>")
+    # one row a cell at most reaches the driver
+    met = one.select("vector").mapInArrow(homes(centres), "width int, home int, near double, far double")
+    rings = {}
+    for width in widths:  # a cell that holds nothing is never visited
+        rings[width] = np.full(len(centres[width]), np.inf), np.full(len(centres[width]), -np.inf)
+    for r in met.groupBy("width", "home").agg(F.max("near").alias("near"), F.min("far").alias("far")).collect():
+        inner, outer = rings[r.width]
+        inner[r.home], outer[r.home] = np.arccos(np.clip((r.near, r.far), -1, 1))
+    placed = one.mapInArrow(cells(centres, rings, cosine, z), "node long, unit binary, home string, visits array<string>")
     placed = materialize(placed, "placed")
     narrow = classes.select("node", "copies")
 
