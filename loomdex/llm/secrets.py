@@ -25,8 +25,8 @@ SHORTEST = 16
 NAMES = "token|secret|passw|pwd|api|auth|bearer|credential|private|key"
 MADE_UP = "test|example|sample|mock|fixture|doc"
 
-#: Labelled findings of each class that train the forest; documents and words of the dictionary.
-SAMPLE, DICTIONARY_DOCS, DICTIONARY_WORDS = 5000, 2000, 150
+#: Labelled findings of each class that train the forest; share of all documents that show a word of the dictionary.
+SAMPLE, DICTIONARY_SHARE = 5000, 0.001
 TREES, DEPTH, SEED = 20, 6, 7
 #: Characters before and after a candidate that count as next to it.
 BEFORE, AFTER = 48, 16
@@ -59,16 +59,17 @@ def candidates(docs: DataFrame, key: list[str], path: Column) -> DataFrame:
     return rows.select(*key, "path", "nth", "value", before.alias("before"), "after")
 
 
-def dictionary(docs: DataFrame, n_docs: int = DICTIONARY_DOCS, n_words: int = DICTIONARY_WORDS) -> list[str]:
-    """The words of three ASCII letters or more that most documents of a fixed sample of at most ``n_docs`` show.
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
+    """The words of three ASCII letters or more that at least ``share`` of all documents with a text show, in order.
 
-    The ids of the sample, those of smallest md5, are broadcast.
+    Counted over every document; counts are combined before the shuffle. A
+    document with d distinct words brings d of them at most, so the list holds no
+    more than the mean of d divided by ``share``.
     """
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(n_docs)
-    texts = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = docs.where("text is not null").select(F.lower(F.col("text").cast("string")).alias("text"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
-    top = words.where(F.length("word") <= 12).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n_words)
-    return [r.word for r in top.collect()]
+    least = share * texts.count()
+    return sorted(r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
 
 
 def described(found: DataFrame, common: list[str]) -> DataFrame:
@@ -78,7 +79,11 @@ def described(found: DataFrame, common: list[str]) -> DataFrame:
     small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     kinds = F.translate(value, small + large + digits, "a" * 26 + "B" * 26 + "0" * 10)
     runs = F.length(F.regexp_replace(kinds, "(.)\\1+", "$1")).cast("double")
-    pattern = "|".join(sorted(common, key=lambda w: (-len(w), w))) or "(?!)"
+    # a value's words, cut at changes of case as well, are looked up in one hash set however long the list is
+    listed = ", ".join(f"'{w}'" for w in common) or "''"
+    covered = F.expr(
+        "aggregate(regexp_extract_all(value, '[A-Z]?[a-z]{2,}|[A-Z]{3,}', 0), 0, "
+        f"(n, t) -> n + if(lower(t) in ({listed}), length(t), 0))")
 
     def share(p: str) -> Column:
         return F.regexp_count(value, F.lit(p)) / length
@@ -92,7 +97,7 @@ def described(found: DataFrame, common: list[str]) -> DataFrame:
         "digits": share("[0-9]"), "capitals": share("[A-Z]"), "vowels": share("(?i)[aeiou][^aeiou0-9]"),
         "variety": F.size(F.array_distinct(F.split(value, ""))) / length,
         "hex": flag(lower.rlike("^[0-9a-f]+$")),
-        "coverage": 1 - F.length(F.regexp_replace(lower, pattern, "")) / length,
+        "coverage": covered / length,
         "depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
         "made_up": flag(F.lower("path").rlike(MADE_UP)),
         "named": flag(F.lower("before").rlike(f"({NAMES})[^\\n]{{0,16}}$")),
