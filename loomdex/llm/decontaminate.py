@@ -96,13 +96,15 @@ class Suffixes:
     """Suffixes of a block of items: every 13-word window, and for each item its whole words to extend into."""
 
     def __init__(self, names: list[str], hashes: list[np.ndarray], window: int):
-        self.names, self.window = names, window
+        self.names, self.window = sorted(set(names)), window  # texts of one id are one item
+        place = {name: i for i, name in enumerate(self.names)}
         self.flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         bounds = np.cumsum([0, *map(len, hashes)])
         counts = [max(1, len(h) - window + 1) if len(h) else 0 for h in hashes]
-        self.item = np.repeat(np.arange(len(hashes)), counts)
+        text = np.repeat(np.arange(len(hashes)), counts)
+        self.item = np.array([place[name] for name in names], np.int64)[text]
         self.start = np.concatenate([bounds[i] + np.arange(c) for i, c in enumerate(counts)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.end = bounds[1:][self.item] if len(self.item) else np.zeros(0, np.int64)
+        self.end = bounds[1:][text] if len(text) else np.zeros(0, np.int64)
         self.length = np.minimum(window, self.end - self.start)
 
 
@@ -224,6 +226,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
         sizes = named.select("_row", "_text").mapInArrow(scan(Suffixes([], [], window)), SPANS).select("row_id", "n_words")
         joined = merged.groupBy("row_id").agg(*[
             F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "item_ids", "longest")])
+        # one match for each item, however many blocks its texts lie in: the longest, of equal ones the first
+        best = F.transform(F.array_sort("item_ids"), lambda i: F.array_max(F.transform(
+            F.filter("longest", lambda m: m.item == i), lambda m: F.struct(m.words.alias("words"), (-m["at"]).alias("back"), m.alias("match"))))["match"])
+        joined = joined.withColumn("longest", best)
         sizes = materialize(sizes.join(joined, "row_id", "left"), "merged")
         found = named.drop("_text").join(sizes.withColumnRenamed("row_id", "_row"), "_row")
         for c in ("spans", "item_ids", "longest"):
