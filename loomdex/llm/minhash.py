@@ -229,16 +229,17 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest doc_id; rows without words all stay.
 
     Of a component without any doc_id the text of the smallest hash stays. Rows
-    equal in doc_id and text come back once.
+    with words that are equal in doc_id and text come back once.
     """
     found = groups(docs, ("doc_id",), **options)
     place = F.struct(F.col("_key.doc_id").isNull().alias("none"), F.col("_key.doc_id").alias("doc_id"), F.col("_key._text").alias("text"))
     first = found.where("group is not null").groupBy("group").agg(F.min(place).alias("at")).select("at.doc_id", "at.text")
-    blank = found.where("group is null").select("_key.doc_id", F.col("_key._text").alias("text")).distinct()
-    chosen = narrow(first.union(blank).select(F.col("doc_id").alias("_id"), F.col("text").alias("_mine")), "chosen")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    chosen = narrow(first.select(F.col("doc_id").alias("_id"), F.col("text").alias("_mine")), "chosen")
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    hashed = docs.where(worded).withColumn("_hash", F.xxhash64(text))
     met = hashed.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mine")))
-    return met.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return met.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns).union(docs.where(~worded))
 
 
 def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS, percent: int = PERCENT, bands: int = BANDS,

@@ -74,6 +74,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
     return levels.select("source_key", "source_size", target.alias("target"))
 
 
+def source_key() -> Column:
+    """The name of a row's source, prefixed so that null sorts after every name."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
         seed: str = "mix", block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text, ...).
@@ -85,8 +90,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs:
     as their positions go. Null sources are one source, last in order; empty
     texts take nothing; an empty table gives no rows. Other columns are ignored.
     """
-    # Names are prefixed so that null sorts after every name: x'00' + name, x'01' for null.
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+    key = source_key()
     keep = tuple(dict.fromkeys(keep))
     rows = materialize(docs.select(
         *dict.fromkeys(("doc_id", *keep)), key.alias("source_key"),
@@ -143,11 +147,17 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Columns of ``docs`` that have one of these names give way to them.
 
     Texts travel once, to meet what was decided on their sizes. Rows are met by
-    doc_id and a hash of the text, so rows equal in both come back once.
+    doc_id, source and a hash of the text; rows equal in all three are numbered,
+    and each that the mix takes comes back with what was taken of it.
     """
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    taken = mix(hashed, keep=("doc_id", "_hash"), **options).where("taken > 0").dropDuplicates(["doc_id", "_hash"])
     made = ("size", "source_size", "target", "taken")
-    taken = materialize(taken.withColumnsRenamed({"doc_id": "_id", "_hash": "_mine", **{c: f"_{c}" for c in made}}), "taken")
-    met = hashed.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mine")))
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).withColumn("_queue", source_key())
+    taken = mix(hashed, keep=("doc_id", "_queue", "_hash"), **options).where("taken > 0")
+    taken = taken.groupBy("doc_id", "_queue", "_hash").agg(
+        *[F.first(c).alias(f"_{c}") for c in made[:3]], F.sort_array(F.collect_list("taken"), asc=False).alias("_all"))
+    taken = materialize(taken.withColumnsRenamed({"doc_id": "_id", "_queue": "_from", "_hash": "_mine"}), "taken")
+    met = hashed.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_queue") == F.col("_from")) & (
+        F.col("_hash") == F.col("_mine")))
+    nth = F.row_number().over(W.partitionBy("doc_id", "_queue", "_hash").orderBy("_hash"))
+    met = met.withColumn("_taken", F.get("_all", nth - 1)).where("_taken is not null")
     return met.select(*[c for c in docs.columns if c not in made], *[F.col(f"_{c}").alias(c) for c in made])
