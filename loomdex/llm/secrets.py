@@ -1,7 +1,8 @@
 """Secret scan: pattern candidates, false positives removed by a random forest.
 
-Candidates are long runs of the characters that keys and tokens are made of. A
-forest decides which are secrets, from their length, the changes of character
+Candidates are long runs of the characters that keys and tokens are made of,
+shorter values given to telling names, private keys and passwords of
+connection strings. A forest decides which are secrets, from their length, the changes of character
 class, how much of them common words of the corpus cover, the document's path
 and the words next to them. It is trained from labelled findings.
 
@@ -23,6 +24,22 @@ from loomdex.session import materialize
 CHARS = "[A-Za-z0-9+/_=-]"
 SHORTEST = 16
 NAMES = "token|secret|passw|pwd|api|auth|bearer|credential|private|key"
+#: Right before a value: an assignment to a telling name; shorter values are candidates only there.
+GIVEN = f"(?i:{NAMES})[A-Za-z0-9_-]{{0,16}}[\"'`]?\\s{{0,2}}:?[=:]\\s{{0,2}}"
+SHORTER = 6
+KEY_BODY = r"[A-Za-z0-9+/=\s:,\\-]"
+#: What a candidate is: the password of a connection string, the body of a private key, a value given to a telling name, a long run.
+SPOTS = "|".join([
+    rf"://[^\s:/@]{{1,64}}:{CHARS}{{{SHORTER},}}(?=@)",
+    rf"-----BEGIN [A-Z ]{{0,24}}PRIVATE KEY-----\s*{KEY_BODY}{{{SHORTEST},16384}}?(?=[\s\\n]*-----END)",
+    rf":?[=:]\s{{0,2}}[\"'`](?<={GIVEN}[\"'`])[^\"'`\s]{{{SHORTER},256}}(?=[\"'`])",
+    rf":?[=:]\s{{0,2}}(?<={GIVEN})(?!=|(?i:bearer|basic|token|digest)\s){CHARS}{{{SHORTER},}}",
+    rf"{CHARS}{{{SHORTEST},}}",
+])
+#: Beginnings of the tokens that providers give out; words after which a hash is no secret.
+ISSUED = (r"^(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_(live|test)_[A-Za-z0-9]{16,}"
+          r"|sk-[A-Za-z0-9_-]{20,}|(AKIA|ASIA)[A-Z0-9]{16}$|AIza[A-Za-z0-9_-]{30,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{30,})")
+HASHES = r"(?i)\b(commit|revision|rev|checksum|digest|hash|md5|sha-?[0-9]+|integrity|etag|uuid)\b[^\n]{0,4}$"
 MADE_UP = "test|example|sample|mock|fixture|doc"
 
 #: Labelled findings of each class that train the forest; share of all documents that show a word of the dictionary.
@@ -33,19 +50,20 @@ BEFORE, AFTER = 48, 16
 
 FEATURES = [
     "length", "transitions", "kinds", "digits", "capitals", "vowels", "variety", "hex", "coverage", "depth", "made_up", "named",
-    "assigned", "quoted", "closed",
+    "assigned", "quoted", "closed", "given", "issued", "headed", "locked", "hash",
 ]
 
 
 def candidates(docs: DataFrame, key: list[str], path: Column) -> DataFrame:
-    """(key, path, nth, value, before, after): all runs of candidate characters, in order, with what stands around them.
+    """(key, path, nth, value, before, after): all candidates of ``SPOTS``, in order, with what stands around them.
 
     The text is cut into pieces that end with a candidate each, so the rest of a
-    piece, and the piece after it, are the surroundings.
+    piece, and the piece after it, are the surroundings. A run that begins with
+    an assignment to a telling name is cut behind it.
     """
-    piece = f"\\G(?s).*?{CHARS}{{{SHORTEST},}}"  # from where the last one ended, so the rest of a text is read once
+    piece = f"\\G(?s).*?(?:{SPOTS})"  # from where the last one ended, so the rest of a text is read once
     text = F.col("text").cast("string")
-    rows = docs.where(text.rlike(f"{CHARS}{{{SHORTEST},}}")).select(*key, path.alias("path"), text.alias("_text"))
+    rows = docs.where(text.rlike(SPOTS)).select(*key, path.alias("path"), text.alias("_text"))
     rows = rows.withColumn("_pieces", F.regexp_extract_all("_text", F.lit(piece), F.lit(0)))
     read = F.aggregate("_pieces", F.lit(0), lambda n, p: n + F.length(p))
     rest = F.substr("_text", read + 1, F.lit(AFTER))
@@ -53,7 +71,14 @@ def candidates(docs: DataFrame, key: list[str], path: Column) -> DataFrame:
         i.alias("nth"), p.alias("_piece"),
         F.coalesce(F.substr(F.get("_pieces", i + 1), F.lit(1), F.lit(AFTER)), rest).alias("after")))
     rows = rows.select(*key, "path", F.inline(spots))
-    value = F.regexp_extract("_piece", f"({CHARS}{{{SHORTEST},}})$", 1)
+
+    def tail(n: int, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(F.right("_piece", F.lit(n)), pattern, 1), F.lit(""))
+
+    run = F.regexp_extract("_piece", f"({CHARS}+)$", 1)
+    cut = F.nullif(F.regexp_extract(run, f"(?i:{NAMES})[A-Za-z0-9_-]{{0,16}}=([^=].{{{SHORTER - 1},}})$", 1), F.lit(""))
+    value = F.coalesce(
+        tail(17000, rf"PRIVATE KEY-----\s*({KEY_BODY}{{{SHORTEST},}})$"), tail(340, f"{GIVEN}[\"'`]([^\"'`\\s]{{{SHORTER},}})$"), cut, run)
     rows = rows.withColumn("value", value).withColumn("_gap", F.length("_piece") - F.length("value"))
     before = F.substr("_piece", F.greatest(F.lit(1), F.col("_gap") - BEFORE + 1), F.least(F.col("_gap"), F.lit(BEFORE)))
     return rows.select(*key, "path", "nth", "value", before.alias("before"), "after")
@@ -103,6 +128,11 @@ def described(found: DataFrame, common: list[str]) -> DataFrame:
         "named": flag(F.lower("before").rlike(f"({NAMES})[^\\n]{{0,16}}$")),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"'`]?$")),
         "quoted": flag(F.col("before").rlike("[\"'`]$")),
+        "given": flag(F.col("before").rlike(f"{GIVEN}[\"'`]?$")),
+        "issued": flag(value.rlike(ISSUED)),
+        "headed": flag(F.col("before").rlike(r"(?i)\b(bearer|authorization:\s*(basic|token))\s+$")),
+        "locked": flag(F.col("before").rlike(r"PRIVATE KEY-----\s*$") | (F.col("before").rlike(r"://[^\s:/@]+:$") & F.col("after").startswith("@"))),
+        "hash": flag(F.col("before").rlike(HASHES)),
         "closed": flag(F.col("after").rlike("^[\"'`;,\\s]") | (F.col("after") == "")),
     })
 
@@ -134,26 +164,36 @@ def train(findings: DataFrame, rows: int = SAMPLE, trees: int = TREES, depth: in
 def plain_labels(described_rows: DataFrame) -> DataFrame:
     """``label`` for findings whose nature is plain, null for the rest; stands in where no one has labelled findings.
 
-    1: at least half digits or mixed classes, in quotes after an assignment to a
-    telling name. 0: letters of one kind only, bare numbers, and runs that are
-    not assigned to anything.
+    1: ``proven``. 0: letters of one kind only, bare numbers, runs that common
+    words cover by half, and hashes after a word that says so. A candidate that
+    is neither, assigned or not, teaches nothing.
     """
-    value = F.col("value")
-    plain = value.rlike("^([A-Za-z][a-z]*|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") | (F.col("assigned") == 0)
-    return described_rows.withColumn("label", F.when(proven(), 1).when(plain, 0))
+    plain = F.col("value").rlike("^([A-Za-z][a-z]*|[A-Z]+|[0-9]+|[^A-Za-z0-9]+)$") | (F.col("coverage") >= 0.5) | (F.col("hash") == 1)
+    return described_rows.withColumn("label", F.when(certain(), 1).when(plain, 0).when(proven(), 1))
+
+
+def mixed() -> Column:
+    return (F.col("transitions") >= 0.2) & (F.col("digits") > 0.1)
+
+
+def certain() -> Column:
+    """The shape of a provider's token, the body of a private key, a connection's password, or mixed characters in a header."""
+    return (F.col("issued") == 1) | (F.col("locked") == 1) | ((F.col("headed") == 1) & mixed())
 
 
 def proven() -> Column:
-    """In quotes after an assignment to a telling name, and mixed of digits and letters."""
-    announced = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
-    return announced & (F.col("transitions") >= 0.2) & (F.col("digits") > 0.1)
+    """Certain, or given to a telling name, in quotes or not, and mixed of digits and letters."""
+    return certain() | ((F.col("given") == 1) & mixed())
 
 
 def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Add ``probability`` that a described candidate is a secret; without a model 1 for proven ones and 0 for all others."""
+    """Add ``probability`` that a described candidate is a secret: 1 for certain ones, else the model's.
+
+    Without a model it is 1 for proven ones and 0 for all others.
+    """
     if model is None:
         return found.withColumn("probability", proven().cast("double"))
-    out = model.transform(assembled(found)).withColumn("probability", vector_to_array("probability")[1])
+    out = model.transform(assembled(found)).withColumn("probability", F.when(certain(), 1.0).otherwise(vector_to_array("probability")[1]))
     return out.drop("features", "rawPrediction", "prediction")
 
 
