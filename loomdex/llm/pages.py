@@ -7,8 +7,9 @@ runs of text counting as children. The node of the greatest sum is the core of
 the article. The least density on its path up to the body is the threshold:
 every branch of the page that reaches it gives its own node of greatest sum,
 and the smallest subtree below the body that holds those nodes is the article.
-Elements that never carry article text (menus, forms, scripts, notices, reader
-comments and the like) are left out before densities are taken.
+Elements that never carry article text (menus, forms, scripts and the like) are
+left out before densities are taken, and so are those whose names hint at
+notices, reader comments and the like, unless most of the page's text is theirs.
 
 One map over the table; a page is read once and its tree is dropped at once.
 """
@@ -61,27 +62,29 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parts", "parent", "dropped", "inside", "wraps", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "parts", "parent", "dropped", "marked", "inside", "wraps", "free", "left", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.parts, self.dropped, self.inside = name, parent, [], False, False
+        self.name, self.parent, self.parts, self.dropped, self.marked, self.inside = name, parent, [], False, False, False
 
 
-def hinted(attributes: str) -> bool:
+def hinted(attributes: str) -> str | None:
+    """"hidden" for an element that is not shown, "marked" for one whose class, id or role has a word of boilerplate."""
     if "=" not in attributes:
-        return False
+        return None
+    found = None
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))]
                 if words and (words[0] in HINTS or words[-1] in HINTS):
-                    return True
+                    found = "marked"
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "hidden"
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
+            return "hidden"
+    return "hidden" if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) else found
 
 
 def tag_end(page: str, at: int) -> int | None:
@@ -131,8 +134,8 @@ def parse(page: str) -> Node:
         elif name == "br":
             body.parts.append(" ")
         elif name not in ("html", "body", "thead", "tbody", "tfoot", "wbr"):
-            marked = hinted(attributes)
-            if name in INLINE and not marked:
+            hint = hinted(attributes)
+            if name in INLINE and not hint:
                 continue
             if name in ENDS_P and standing["p"]:
                 body = leave(closed(body, {"p"}))
@@ -140,7 +143,9 @@ def parse(page: str) -> Node:
                 body = leave(closed(body, ENDS[name]))
             node = Node(name, body)
             node.inside = body.inside or name in ("article", "main")
-            node.dropped = name in DROPPED or (marked and name not in ("article", "main")) or (name == "header" and not node.inside)
+            whole = name in ("article", "main")
+            node.dropped = name in DROPPED or (hint == "hidden" and not whole) or (name == "header" and not node.inside)
+            node.marked = hint == "marked" and not whole
             body.parts.append(node)
             if name not in VOID and not attributes.endswith("/"):
                 standing[name] += 1
@@ -152,6 +157,33 @@ def parse(page: str) -> Node:
         node.wraps = {n for p in node.parts if not isinstance(p, str) for n in (p.wraps | {p.name}) & {"article", "main", "h1"}}
         node.parts = [p for p in node.parts if isinstance(p, str) or not p.dropped or p.wraps & {"article", "main"}
                       or (p.name == "form" and "h1" in p.wraps)]
+        own = sum(len(SPACE.sub("", p)) for p in node.parts if isinstance(p, str))
+        node.free = own + sum(p.free for p in node.parts if not isinstance(p, str)) if node.name != "a" else 0
+    return without_marked(root)
+
+
+def without_marked(root: Node) -> Node:
+    """Leave out marked elements that hold less than half of the page's text outside of links.
+
+    Where an article or main element stands elsewhere they go whatever they
+    hold; inside of it a heading of the page stays. If nothing but links would
+    be left, all stay.
+    """
+    kept, order = {}, nodes(root)
+    whole = bool(root.wraps & {"article", "main"})
+
+    def goes(p: Node) -> bool:
+        if not p.marked or p.wraps & {"article", "main"} or (p.inside and "h1" in p.wraps | {p.name}):
+            return False
+        return 2 * p.free < root.free or (whole and not p.inside)
+
+    for node in reversed(order):
+        kept[id(node)] = [p for p in node.parts if isinstance(p, str) or not goes(p)]
+        own = sum(len(SPACE.sub("", p)) for p in kept[id(node)] if isinstance(p, str))
+        node.left = own + sum(p.left for p in kept[id(node)] if not isinstance(p, str)) if node.name != "a" else 0
+    if root.left or not root.free:
+        for node in order:
+            node.parts = kept[id(node)]
     return root
 
 

@@ -1,0 +1,21 @@
+"""Pages whose wrappers have names that hint at boilerplate."""
+
+import pytest
+
+from loomdex.llm import pages
+
+TEXT = "<p>The first paragraph of the story, long enough to count.</p><p>The second one goes on for a while as well.</p>"
+STORY = "The first paragraph of the story, long enough to count.\nThe second one goes on for a while as well."
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<body><div class='content with-sidebar'>{TEXT}<div class='sidebar'><p>About us</p></div></div></body>", STORY),
+    (f"<div id=has-sidebar>{TEXT}</div>", STORY),
+    (f"<article><header class=entry-header><h1>Title</h1></header>{TEXT}<div class=related>More</div></article>", "Title\n" + STORY),
+    ("<div class=widget-a1-widget><p>one text here</p></div><div class=widget><p>two texts there</p></div><div class=promo><p>three of them</p></div>",
+     "one text here\ntwo texts there\nthree of them"),
+    (f"<article><p>Short.</p></article><div class=comments>{TEXT}</div>", "Short."),
+    (f"<div>{TEXT}</div><div style='display:none'>{TEXT * 3}</div>", STORY),
+])
+def test_hints_never_take_most_of_a_page(page, text):
+    assert pages.main_text(page) == text
