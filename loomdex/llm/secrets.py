@@ -43,7 +43,7 @@ HASHES = r"(?i)\b(commit|revision|rev|checksum|digest|hash|md5|sha-?[0-9]+|integ
 MADE_UP = "test|example|sample|mock|fixture|doc"
 
 #: Labelled findings of each class that train the forest; share of all documents that show a word of the dictionary.
-SAMPLE, DICTIONARY_SHARE = 5000, 0.001
+SAMPLE, DICTIONARY_SHARE = 5000, 0.01
 TREES, DEPTH, SEED = 20, 6, 7
 #: Characters before and after a candidate that count as next to it.
 BEFORE, AFTER = 48, 16
@@ -85,7 +85,7 @@ def candidates(docs: DataFrame, key: list[str], path: Column) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
-    """The words of three ASCII letters or more that at least ``share`` of all documents with a text show, in order.
+    """The words of three ASCII letters or more that at least ``share`` of all documents with a text show, two at least, in order.
 
     Counted over every document; counts are combined before the shuffle. A
     document with d distinct words brings d of them at most, so the list holds no
@@ -93,7 +93,7 @@ def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
     """
     texts = docs.where("text is not null").select(F.lower(F.col("text").cast("string")).alias("text"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
-    least = share * texts.count()
+    least = max(2.0, share * texts.count())
     return sorted(r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
 
 

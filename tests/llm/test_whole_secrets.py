@@ -8,7 +8,7 @@ from loomdex.llm import secrets
 
 
 def test_dictionary_counts_every_document(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "zymurgical incomprehensibilities").otherwise(
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "zymurgical incomprehensibilities").otherwise(
         F.concat(F.lit("the loom w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).alias("text"))
     assert secrets.dictionary(docs) == ["incomprehensibilities", "loom", "the", "zymurgical"]
     found = spark.createDataFrame([(None, "theLoom/zymurgical+x9", "", "")], "path string, value string, before string, after string")
