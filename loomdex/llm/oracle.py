@@ -85,4 +85,39 @@ t as (select r, count(*) n from g where began < budget group by r)
 select doc_id, q.size, q.source_size::bigint source_size, q.target, (q.size * coalesce(t.n, 0))::bigint taken from q left join t using (r)
 """
 
-ORACLE = {"op4_url_filter": OP4, "op5_embedding_dedup": OP5, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10}
+OP11 = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents where text is not null),
+s as (select count(*) n, sum(len(t)) l from d where len(t) > 0),
+i as (select row_number() over () k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from benchmark where text is not null),
+it as (select distinct k, item_id, unnest(t) w from i),
+tf as (select r, w, count(*) tf from (select r, unnest(t) w from d) where w in (select w from it) group by all),
+df as (select w, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::bigint weight from tf, s group by w, n),
+sc as (select k, item_id, tf.r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.t) * s.n) // s.l))))::bigint score
+  from it join tf using (w) join df using (w) join d on d.r = tf.r, s group by all)
+select item_id, row_number() over (partition by k order by score desc, doc_id asc nulls last)::int "rank", doc_id, score
+from sc join d using (r) where score > 0 qualify "rank" <= 50
+"""
+
+OP13 = r"""
+with d as (select row_number() over () r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::varchar[]) w from documents),
+crc as (select i, (select list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) v from (select unnest(range(256))::bigint i)),
+tab as (select list(v order by i) t from crc),
+h as (select d.*, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: ascii(x)::bigint)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) h from d, tab),
+g as (select *, (h // 10) % greatest(len(w), 1) a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) p from h),
+x as (select r, doc_id, case when h % 10 = 0 and len(w) > 0 then list_concat(w[1:a], list_transform(range(0, len(w) - a), lambda i: w[a + i % p + 1])) else w end w from g),
+n9 as (select r, i, array_to_string(w[i+1:i+9], ' ') s from (select r, w, unnest(range(0, len(w) - 8)) i from x where len(w) >= 24)),
+pr as (select a.r, a.i, b.i - a.i q from n9 a join n9 b on a.r = b.r and a.s = b.s and a.i < b.i),
+st as (select r, q, min(i) start, count(*) + 8 + q length from (select *, i - row_number() over (partition by r, q order by i) isle from pr) group by r, q, isle),
+run as (select r, start, length::bigint length, min(q) q from st where length >= greatest(24, 3 * q) group by all),
+gone as (select distinct r, unnest(range(start + q, start + length)) j from run),
+wd as (select r, unnest(range(0, len(w))) j, unnest(w) t from x),
+kept as (select r, string_agg(t, ' ' order by j) c from wd anti join gone using (r, j) group by r),
+agg as (select r, count(*) n, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) l from run group by r),
+best as (select r, start, length, q from run qualify row_number() over (partition by r order by length::double / q desc, start, q) = 1)
+select doc_id, coalesce(n, 0)::bigint n_runs, start::bigint start, length, q::bigint "period", ((1000 * length) // q)::bigint exponent_milli,
+  sha256(coalesce(l, '')) runs_sha256, sha256(coalesce(c, '')) collapsed_sha256
+from x left join agg using (r) left join best using (r) left join kept using (r)
+"""
+
+ORACLE = {"op4_url_filter": OP4, "op5_embedding_dedup": OP5, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op9_decontamination": OP9, "op10_source_mixing": OP10,
+          "op11_ranked_search": OP11, "op13_periodic_runs": OP13}

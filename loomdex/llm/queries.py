@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import decontaminate, minhash, mixing, pages, quality, secrets, substring, toxicity, urls, vectors
-
+from loomdex.llm import (
+    decontaminate, minhash, mixing, packing, pages, periodic, quality, ranked, secrets, substring, toxicity, urls, vectors)
 from loomdex.llm.labelled import fold
 
 
@@ -69,6 +72,40 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's periods: from some word on, a document in ten repeats a stretch of itself."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    index = np.arange(n)
+    index[a:] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return index
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), reorder=planted)
+    found = found.withColumn("best", periodic.foremost(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_quality, op3_toxicity, op4_url_filter, op5_embedding_dedup, op6_minhash_dedup,
-    op7_secret_scan, op8_substring_dedup, op9_decontamination, op10_source_mixing)}
+    op7_secret_scan, op8_substring_dedup, op9_decontamination, op10_source_mixing,
+    op11_ranked_search, op12_packing, op13_periodic_runs)}
