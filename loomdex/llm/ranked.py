@@ -32,14 +32,14 @@ TOP = 50
 #: Different terms, and items, of one block; its items go to every task.
 BLOCK_TERMS, BLOCK_ITEMS = 8192, 2048
 #: Documents of a shard, and counts that its table may hold; documents of a leaf.
-SHARD, CELLS, LEAF = 4096, 1 << 24, 16
+SHARD, CELLS, LEAF = 4096, 1 << 24, 64
 NONE = np.zeros(0, np.int64)
 
 
 class Item(NamedTuple):
     number: int  # of the row, over all blocks
     terms: np.ndarray  # hashes, later places in the order of the terms
-    weights: np.ndarray
+    weights: np.ndarray  # whole numbers
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -108,8 +108,8 @@ class Tree:
         place = np.empty(rows, np.int64)
         place[self.order] = np.arange(rows)
         self.m = m[self.order]
-        self.tf = np.zeros((rows, terms), np.int32 if not len(tfs) or tfs.max() < 1 << 31 else np.int64)
-        self.tf[place[row], flat] = tfs
+        tf = np.zeros((rows, terms), np.int32 if not len(tfs) or tfs.max() < 1 << 31 else np.int64)
+        tf[place[row], flat] = tfs
         size, begin = np.diff(bounds)[self.order], bounds[:-1][self.order]
         self.low, self.high, self.child, self.children = [0], [rows], [-1], [0]
         at = 0
@@ -142,40 +142,44 @@ class Tree:
                     break  # all end here: one vector
             at += 1
         n = len(self.low)
-        self.most, self.least = np.zeros((n, terms), self.tf.dtype), np.zeros(n, np.int64)
+        self.most, self.least = np.zeros((n, terms), tf.dtype), np.zeros(n, np.int64)
         for i in range(n - 1, -1, -1):
             if self.children[i]:
                 own = slice(self.child[i], self.child[i] + self.children[i])
                 self.most[i], self.least[i] = self.most[own].max(0), self.least[own].min()
             else:
                 own = slice(self.low[i], self.high[i])
-                self.most[i], self.least[i] = self.tf[own].max(0), self.m[own].min()
+                self.most[i], self.least[i] = tf[own].max(0), self.m[own].min()
+        # what a term of weight 1 gives each document, and at most below each node; all below a million
+        tf[place[row], flat] = saturated(tfs, m[row])
+        self.gives, self.bound = tf, np.zeros((n, terms), np.int32)
+        node, term = np.nonzero(self.most)
+        self.bound[node, term] = saturated(self.most[node, term].astype(np.int64), self.least[node])
 
-    def score(self, table: np.ndarray, m: np.ndarray, own: slice, item: Item) -> np.ndarray:
-        tf = table[own][:, item.terms].astype(np.int64)
-        return (saturated(tf, m[own, None]) * item.weights).sum(1)
+    def score(self, table: np.ndarray, own: slice, item: Item) -> np.ndarray:
+        return table[own].take(item.terms, axis=1).astype(np.float64) @ item.weights  # whole numbers far below 2^53
 
     def search(self, item: Item, ids: np.ndarray, best: tuple[np.ndarray, np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray]:
         """``best`` (scores, ids) and what this tree has to add: depth first, without branches that cannot add."""
         scores, docs = best
         least = scores.min() if len(scores) >= top else 1
-        open_ = [(int(self.score(self.most, self.least, slice(0, 1), item)[0]), 0)]
+        open_ = [(int(self.score(self.bound, slice(0, 1), item)[0]), 0)]
         while open_:
             bound, node = open_.pop()
             if bound < least:
                 continue
             if self.children[node]:
                 first = self.child[node]
-                bounds = self.score(self.most, self.least, slice(first, first + self.children[node]), item)
-                kept = np.flatnonzero(bounds >= least)
+                bounds = self.score(self.bound, slice(first, first + self.children[node]), item)
+                kept = (bounds >= least).nonzero()[0]
                 kept = kept[np.argsort(bounds[kept], kind="stable")]
                 open_ += zip(bounds[kept].tolist(), (first + kept).tolist())
                 continue
             own = slice(self.low[node], self.high[node])
-            found = self.score(self.tf, self.m, own, item)
-            kept = np.flatnonzero(found >= least)
+            found = self.score(self.gives, own, item)
+            kept = (found >= least).nonzero()[0]
             if len(kept):
-                scores = np.concatenate((scores, found[kept]))
+                scores = np.concatenate((scores, found[kept].astype(np.int64)))
                 docs = np.concatenate((docs, ids[self.order[own][kept]]))
                 if len(scores) >= top:
                     first = np.lexsort((docs, -scores))[:top]
@@ -255,7 +259,7 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, block_terms: int =
         for number, mine in block:
             own = np.searchsorted(terms, mine)
             own = own[(df[own] > 0) & (weight[own] > 0)]
-            asked.append(Item(number, place[own], weight[own]))
+            asked.append(Item(number, place[own], weight[own].astype(np.float64)))
         held = max(64, min(shard, CELLS // len(terms)))
         found = vectors.where("size(terms) > 0").mapInArrow(
             search(asked, place, total, length, top, held, leaf), "_n long, doc_id long, score long")

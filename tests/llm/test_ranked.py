@@ -69,15 +69,15 @@ def test_nodes_bound_what_is_below_and_branches_are_left_out():
     leaves = [(lo, hi) for lo, hi, c in zip(tree.low, tree.high, tree.children) if not c]
     assert sorted(leaves)[0][0] == 0 and all(a[1] == b[0] for a, b in zip(sorted(leaves), sorted(leaves)[1:])) and len(leaves) > 30
     for i, (lo, hi) in enumerate(zip(tree.low, tree.high)):
-        assert (tree.most[i] == tree.tf[lo:hi].max(0)).all() and tree.least[i] == tree.m[lo:hi].min()
-    paths = [tuple(np.flatnonzero(t)) for t in tree.tf]
+        assert (tree.bound[i] >= tree.gives[lo:hi].max(0)).all() and tree.least[i] == tree.m[lo:hi].min()
+    paths = [tuple(np.flatnonzero(t)) for t in tree.gives]
     assert paths == sorted(paths)
     looked = []
     score = tree.score
-    tree.score = lambda table, *rest: looked.append(table is tree.tf) or score(table, *rest)
-    item = ranked.Item(0, np.array([30, 35, 2]), np.array([5000, 6000, 10]))
+    tree.score = lambda table, *rest: looked.append(table is tree.gives) or score(table, *rest)
+    item = ranked.Item(0, np.array([30, 35, 2]), np.array([5000.0, 6000.0, 10.0]))
     scores, docs = tree.search(item, np.arange(rows), (ranked.NONE, ranked.NONE), 5)
-    every = score(tree.tf, tree.m, slice(0, rows), item)
+    every = score(tree.gives, slice(0, rows), item)
     assert sorted(scores.tolist()) == sorted(every.tolist())[-5:] and sum(looked) < len(leaves) / 2
 
 
