@@ -10,6 +10,7 @@ rest of a group is cut into powers of two, which need no padding either.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,48 +27,132 @@ LENGTH = 4096
 END = 2
 #: Tokens, and pieces, of a group on average.
 GROUP_TOKENS, GROUP_PIECES = 1 << 21, 1 << 15
-#: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Distinct units of text whose ids a worker remembers; the memory is emptied when it is full.
+REMEMBERED = 2_000_000
 
 PIECE = "doc_id {id}, doc_tokens long, start long, length long, crc long, ids binary"
 
 
-class WordIds:
-    """Ids of blank-separated pieces of text, remembered by piece.
+# Bytes of units: letters (ASCII, and the letters whose first byte is C3), digits, other marks; what a unit must not hold.
+LETTER, DIGIT, MARK = 1, 2, 3
+KIND = np.full(256, MARK, np.uint8)
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+ODD = np.zeros(256, bool)
+ODD[[*range(0x20), 0x27, 0x7C, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+ODD[[0x20, *range(0x09, 0x0E)]] = False
 
-    The tokenizer must treat pieces between ASCII blanks on their own; ``checked`` says
-    whether it does on texts made to show the contrary.
+
+def units(w: wd.Words) -> wd.Words:
+    """Words cut into lower-case runs of letters, single digits and runs of other marks.
+
+    A word with an apostrophe, a bar, a control character or a character beyond
+    the letters of Latin-1 stays as it is: the tokenizer sees it whole.
+    """
+    if not len(w.start):
+        return w
+    data, after = w.data, np.zeros(len(w.data), bool)
+    after[1:] = data[:-1] == 0xC3
+    odd = ODD[data] | (after & ((data == 0x97) | (data == 0xB7)))
+    opens = np.zeros(len(data), bool)
+    opens[w.start] = True
+    word = np.cumsum(opens, dtype=np.int32) - 1
+    plain = ~(np.add.reduceat(odd, w.start, dtype=np.int64) > 0)
+    inside = wd.NOT_BLANK[data] & (word >= 0)
+    cut = inside & plain[word]
+    lowered = np.where((data >= 0x41) & (data <= 0x5A) | (after & (data >= 0x80) & (data <= 0x9E)), data + 32, data).astype(np.uint8)
+    lowered = np.where(cut, lowered, data)
+    kind = KIND[data]
+    opens[1:] |= cut[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    start = np.flatnonzero(opens)
+    own = word[start]
+    end = np.minimum(np.append(start[1:], len(data)), w.end[own])
+    row = w.row[own]
+    return wd.Words(w.first, w.rows, lowered, w.offsets, start, end, row, np.searchsorted(row, np.arange(w.rows + 1)))
+
+
+class UnitIds:
+    """Ids of the units of text by a tokenizer, remembered by the units' 64-bit hashes.
+
+    That a text's ids are those of its units, one after the other, is tried on
+    texts made to show the contrary; where it fails ``checked`` is False and
+    texts are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-        probes = ["a b", "a  b\n\nc", "it's 'll  's", " a\tb ", "x1 2y 3.4 , .", "É é ́a"]
-        self.checked = all(self.encode(p) == [i for piece in p.encode().split() for i in self.encode(piece.decode())] for p in probes)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # the ids that end a unit
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.forget()
+        probes = ["a b", "A  b\n\nc", "it's 'll  's", " a\tb ", "x12 2y 3.4, . --x", "É e\u0301 SS×÷ ñandú ÀÞ", "<|endoftext|>a|b", "\x1f\x00a \x7f", "你好a1"]
+        texts = [*probes, " ".join(probes)]
+        self.checked = all((flat == self.encode(t)).all() if len(flat) == len(self.encode(t)) else False for t, flat in zip(texts, map(self.of_text, texts)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin, self.size, self.flat, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def of(self, pieces: list[bytes]) -> list[np.ndarray]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, np.uint32)
-        return [self.known[p] for p in pieces]
-
-
-ENCODERS: dict[str, WordIds] = {}
-
-
-def encoder(path: str) -> WordIds:
+    def of_text(self, text: str) -> np.ndarray:
+        w = units(next(wd.words(pa.array([text], pa.string()))))
+        place = self.places(w)
+        return np.concatenate([self.flat[self.begin[p] : self.begin[p] + self.size[p]] for p in place] or [np.zeros(0, np.uint32)])
+
+    def places(self, w: wd.Words) -> np.ndarray:
+        """Where each unit's ids are; new ones are encoded first."""
+        found, spot, which = np.unique(wd.word_hashes(w), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(found) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != found[inside]
+        if new.any():
+            data = w.data.tobytes()
+            texts = [data[a:b].decode() for a, b in zip(w.start[spot[new]].tolist(), w.end[spot[new]].tolist())]
+            ids, size = self.encoded(texts)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)))
+            self.flat[self.used : self.used + len(ids)] = ids
+            begin = self.used + np.cumsum(size) - size
+            self.used += len(ids)
+            self.hashes = np.insert(self.hashes, at[new], found[new])
+            self.begin, self.size = np.insert(self.begin, at[new], begin), np.insert(self.size, at[new], size)
+            at = np.searchsorted(self.hashes, found)
+        return at[which]
+
+    def encoded(self, texts: list[str], many: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units and the number of each; a batch with a unit of several ends is encoded one by one."""
+        ids, sizes = [], []
+        for at in range(0, len(texts), many):
+            part = texts[at : at + many]
+            own = np.array(self.encode(" ".join(part)), np.uint32)
+            ends = np.flatnonzero(self.ends[np.minimum(own, len(self.ends) - 1)])
+            if len(ends) != len(part) or not len(ends) or ends[-1] != len(own) - 1 or not all(map(self.whole, part)):
+                each = [np.array(self.encode(t), np.uint32) for t in part]
+                own, ends = np.concatenate(each), np.cumsum([len(e) for e in each]) - 1
+            ids.append(own)
+            sizes.append(np.diff(ends, prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    @staticmethod
+    def whole(unit: str) -> bool:
+        """Whether a unit surely has one end: letters, one digit, or marks."""
+        return unit.isascii() and not ("'" in unit or "|" in unit) or unit.isalpha()
+
+
+ENCODERS: dict[str, UnitIds] = {}
+
+
+def encoder(path: str) -> UnitIds:
     if path not in ENCODERS:
-        ENCODERS[path] = WordIds(path)
+        ENCODERS[path] = UnitIds(path)
     return ENCODERS[path]
 
 
@@ -77,20 +162,18 @@ def token_rows(column: pa.Array, path: str, end: int) -> Iterator[tuple[int, np.
     for w in wd.words(column):
         if not known.checked:
             rows = [known.encode(t or "") + [end] for t in column.slice(w.first, w.rows).to_pylist()]
-            flat = np.array([i for r in rows for i in r], np.uint32)
-            yield w.first, flat, np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+            yield w.first, np.array([i for r in rows for i in r], np.uint32), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
             continue
-        data = w.data.tobytes()
-        _, spot, word = np.unique(wd.word_hashes(w), return_index=True, return_inverse=True)
-        ids = [*known.of([data[a:b] for a, b in zip(w.start[spot].tolist(), w.end[spot].tolist())]), np.array([end], np.uint32)]
-        # each row's words, then the mark
-        order = np.insert(word, w.bounds[1:], len(ids) - 1)
-        size = np.array([len(i) for i in ids], np.int64)
-        begin = np.cumsum(size) - size
-        take = size[order]
+        w = units(w)
+        place = known.places(w) if len(w.start) else np.zeros(0, np.int64)
+        # each row's units, then the mark
+        marks = w.bounds[1:] + np.arange(w.rows)
+        take = np.insert(known.size[place], w.bounds[1:], 1)
+        begin = np.insert(known.begin[place], w.bounds[1:], 0)
         past = np.cumsum(take)
-        flat = np.concatenate(ids)[np.repeat(begin[order] - (past - take), take) + np.arange(past[-1] if len(past) else 0)]
-        yield w.first, flat, np.concatenate(([0], past))[np.concatenate(([0], w.bounds[1:] + np.arange(1, w.rows + 1)))]
+        flat = known.flat[np.repeat(begin - (past - take), take) + np.arange(past[-1])]
+        flat[past[marks] - 1] = end
+        yield w.first, flat, np.concatenate(([0], past[marks]))
 
 
 def crc(ids: np.ndarray) -> int:

@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomdex.llm import packing
 
@@ -70,11 +72,19 @@ def test_ids_equal_the_tokenizer_on_odd_texts(tokenizer):
     assert packing.encoder(str(PATH)).checked
 
 
-def test_words_are_forgotten_when_memory_is_full(monkeypatch, tokenizer):
+def test_units_are_forgotten_when_memory_is_full(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
-    known = packing.WordIds(str(PATH))
-    for pieces in ([b"one", b"two", b"three"], [b"one", b"four", b"five", b"six"], [b"seven"] , [bytes([97 + i]) for i in range(9)]):
-        assert [i.tolist() for i in known.of(pieces)] == [tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+    known = packing.UnitIds(str(PATH))
+    for text in ("one two three", "one four FIVE six", "seven", "a b c d e f g h i", "x1y2, it's"):
+        assert known.of_text(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(known.hashes) <= 9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB1 2.,'-|<>sltvemr\té×÷ÀßÞÿıİ\u0301\u0130\u00a0\x1c\x00²½ªж你🙂ſ\u2028", max_size=40))
+def test_any_text_is_encoded_as_a_whole(tokenizer, text):
+    first, flat, bounds = next(packing.token_rows(pa.array([text, None]), str(PATH), 2))
+    assert flat.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2, 2]
 
 
 def plain_first_fit(sizes, length):
