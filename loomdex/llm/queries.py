@@ -49,9 +49,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), F.col("source")
-    common, forest = secrets.learn(docs, path)
-    found = secrets.scan(docs, common, forest, path)
+    found = secrets.learn_and_scan(table(spark, sf_dir, "documents"), F.col("source"))
     return found.select(
         "doc_id", "nth", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
         "probability", "is_secret")

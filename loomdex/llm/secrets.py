@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.session import materialize
+from loomdex.session import materialize, scratch_dir
 
 # Shapes of candidates, names that announce a secret, paths where made-up ones are usual.
 CHARS = "[A-Za-z0-9+/_=-]"
@@ -43,10 +43,12 @@ HASHES = r"(?i)\b(commit|revision|rev|checksum|digest|hash|md5|sha-?[0-9]+|integ
 MADE_UP = "test|example|sample|mock|fixture|doc"
 
 #: Labelled findings of each class that train the forest; share of all documents that show a word of the dictionary.
-SAMPLE, DICTIONARY_SHARE = 5000, 0.01
+SAMPLE, DICTIONARY_SHARE = 5000, 0.001
 TREES, DEPTH, SEED = 20, 6, 7
 #: Characters before and after a candidate that count as next to it.
 BEFORE, AFTER = 48, 16
+#: Words of a value, cut at changes of case as well.
+VALUE_WORD = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
 
 FEATURES = [
     "length", "transitions", "kinds", "digits", "capitals", "vowels", "variety", "hex", "coverage", "depth", "made_up", "named",
@@ -84,31 +86,30 @@ def candidates(docs: DataFrame, key: list[str], path: Column) -> DataFrame:
     return rows.select(*key, "path", "nth", "value", before.alias("before"), "after")
 
 
-def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> list[str]:
-    """The words of three ASCII letters or more that at least ``share`` of all documents with a text show, two at least, in order.
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> DataFrame:
+    """``word``: those of three ASCII letters or more that at least ``share`` of all documents with a text show, two at least.
 
-    Counted over every document; counts are combined before the shuffle. A
-    document with d distinct words brings d of them at most, so the list holds no
-    more than the mean of d divided by ``share``.
+    Counted over every document; counts are combined before the shuffle. The
+    words stay a table, however many they are.
     """
     texts = docs.where("text is not null").select(F.lower(F.col("text").cast("string")).alias("text"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
     least = max(2.0, share * texts.count())
-    return sorted(r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
+    return materialize(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word"), "dictionary")
 
 
-def described(found: DataFrame, common: list[str]) -> DataFrame:
-    """Add the features to candidates."""
+def described(found: DataFrame, common: DataFrame) -> DataFrame:
+    """Candidates with the features, stored: their words are met with the dictionary ``common``, and covered letters summed back."""
+    found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    words = found.select("_row", F.explode(F.regexp_extract_all("value", F.lit(VALUE_WORD), F.lit(0))).alias("_word"))
+    met = words.select("_row", F.lower("_word").alias("word")).join(common, "word")
+    letters = met.groupBy("_row").agg(F.sum(F.length("word")).alias("_covered"))
+    rows = found.join(letters, "_row", "left")
     value, length = F.col("value"), F.length("value").cast("double")
     lower = F.lower(value)
     small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     kinds = F.translate(value, small + large + digits, "a" * 26 + "B" * 26 + "0" * 10)
     runs = F.length(F.regexp_replace(kinds, "(.)\\1+", "$1")).cast("double")
-    # a value's words, cut at changes of case as well, are looked up in one hash set however long the list is
-    listed = ", ".join(f"'{w}'" for w in common) or "''"
-    covered = F.expr(
-        "aggregate(regexp_extract_all(value, '[A-Z]?[a-z]{2,}|[A-Z]{3,}', 0), 0, "
-        f"(n, t) -> n + if(lower(t) in ({listed}), length(t), 0))")
 
     def share(p: str) -> Column:
         return F.regexp_count(value, F.lit(p)) / length
@@ -116,13 +117,13 @@ def described(found: DataFrame, common: list[str]) -> DataFrame:
     def flag(c: Column) -> Column:
         return F.coalesce(c, F.lit(False)).cast("double")
 
-    return found.withColumns({
+    rows = rows.withColumns({
         "length": length, "transitions": (runs - 1) / length,
         "kinds": F.size(F.array_distinct(F.split(kinds, ""))).cast("double"),
         "digits": share("[0-9]"), "capitals": share("[A-Z]"), "vowels": share("(?i)[aeiou][^aeiou0-9]"),
         "variety": F.size(F.array_distinct(F.split(value, ""))) / length,
         "hex": flag(lower.rlike("^[0-9a-f]+$")),
-        "coverage": covered / length,
+        "coverage": F.coalesce("_covered", F.lit(0)) / length,
         "depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
         "made_up": flag(F.lower("path").rlike(MADE_UP)),
         "named": flag(F.lower("before").rlike(f"({NAMES})[^\\n]{{0,16}}$")),
@@ -135,6 +136,7 @@ def described(found: DataFrame, common: list[str]) -> DataFrame:
         "hash": flag(F.col("before").rlike(HASHES)),
         "closed": flag(F.col("after").rlike("^[\"'`;,\\s]") | (F.col("after") == "")),
     })
+    return materialize(rows.drop("_row", "_covered"), "described")
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -151,14 +153,14 @@ def train(findings: DataFrame, rows: int = SAMPLE, trees: int = TREES, depth: in
     distinct = findings.where("label in (0, 1)").withColumn("label", F.col("label").cast("double")).dropDuplicates([*place, "label"])
     order = [F.md5(F.concat_ws("|", *place)), *place]
     drawn = [distinct.where(F.col("label") == c).orderBy(*order).limit(rows) for c in (0.0, 1.0)]
-    taught = assembled(drawn[0].union(drawn[1])).select("features", "label").coalesce(1).persist()
-    present = {r.label for r in taught.select("label").distinct().collect()}
-    model = None
-    if present == {0.0, 1.0}:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
-        model = forest.fit(taught)
-    taught.unpersist()
-    return model
+    taught = materialize(assembled(drawn[0].union(drawn[1])).select("features", "label").coalesce(1), "taught")
+    if {r.label for r in taught.select("label").distinct().collect()} != {0.0, 1.0}:
+        return None
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
+    # read back without the summary of its training, which holds the session and cannot go to tasks
+    path = f"{scratch_dir(findings.sparkSession)}/forest"
+    forest.fit(taught).write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def plain_labels(described_rows: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> D
     return out.drop("features", "rawPrediction", "prediction")
 
 
-def learn(docs: DataFrame, path: Column, labelled: DataFrame | None = None, rows: int = SAMPLE) -> tuple[list[str], RandomForestClassificationModel | None]:
+def learn(docs: DataFrame, path: Column, labelled: DataFrame | None = None, rows: int = SAMPLE) -> tuple[DataFrame, RandomForestClassificationModel | None]:
     """(dictionary, forest). ``labelled`` are findings (path, value, before, after, label); without, plain ones of ``docs``."""
     common = dictionary(docs)
     if labelled is not None:
@@ -205,7 +207,12 @@ def learn(docs: DataFrame, path: Column, labelled: DataFrame | None = None, rows
     return common, train(plain_labels(described(candidates(docs, [], path), common)), rows)
 
 
-def scan(docs: DataFrame, common: list[str], model: RandomForestClassificationModel | None, path: Column,
+def judged(found: DataFrame, model: RandomForestClassificationModel | None, key: tuple[str, ...], least: float) -> DataFrame:
+    kept = scored(found, model).select(*key, "nth", "value", "before", "after", "probability")
+    return kept.withColumn("is_secret", F.col("probability") >= least)
+
+
+def scan(docs: DataFrame, common: DataFrame, model: RandomForestClassificationModel | None, path: Column,
          key: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """One row for each candidate in each row of ``docs`` (text, ...): ``key``, nth, value, before, after, probability, is_secret.
 
@@ -213,28 +220,46 @@ def scan(docs: DataFrame, common: list[str], model: RandomForestClassificationMo
     empty and short texts have none, nor has an empty table; repeated rows give
     repeated findings; a null path is no path. Other columns are ignored.
     """
-    found = scored(described(candidates(docs, list(key), path), common), model)
-    return found.select(*key, "nth", "value", "before", "after", "probability", (F.col("probability") >= least).alias("is_secret"))
+    return judged(described(candidates(docs, list(key), path), common), model, key, least)
 
 
-def redacted(docs: DataFrame, common: list[str], model: RandomForestClassificationModel | None, path: Column,
-             mask: str = "<secret>", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) with every secret in ``text`` replaced, and n_chars, if there, counted anew.
+def learn_and_scan(docs: DataFrame, path: Column, key: tuple[str, ...] = ("doc_id",), least: float = 0.5, rows: int = SAMPLE) -> DataFrame:
+    """``scan`` of ``docs`` by what ``learn`` makes of the same ``docs``; their candidates are looked for once."""
+    found = described(candidates(docs, list(key), path), dictionary(docs))
+    return judged(found, train(plain_labels(found), rows), key, least)
 
-    Longer secrets are replaced first. Only the secrets travel: rows are met by
-    doc_id and a hash of the text, so equal rows are masked alike.
+
+def masked(docs: DataFrame, found: DataFrame, mask: str = "<secret>") -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) with every secret of ``found`` (doc_id, _hash, value, is_secret) replaced.
+
+    n_chars, if there, is counted anew. Longer secrets are replaced first. Only
+    the secrets travel: rows are met by doc_id and a hash of the text, so equal
+    rows are masked alike.
     """
     text = F.col("text").cast("string")
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("_hash"), "text", path.alias("_path"))
-    found = scan(keyed, common, model, F.col("_path"), ("doc_id", "_hash"), least).where("is_secret")
-    lists = materialize(found.groupBy("doc_id", "_hash").agg(F.collect_set("value").alias("_values")), "secrets")
+    lists = materialize(found.where("is_secret").groupBy("doc_id", "_hash").agg(F.collect_set("value").alias("_values")), "secrets")
     ordered = F.reverse(F.array_sort(F.transform("_values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
     lists = lists.select(F.col("doc_id").alias("_id"), "_hash", ordered.alias("_values"))
     met = docs.withColumn("_mine", F.xxhash64(text)).join(
         lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_hash")), "left")
-    masked = F.when(F.col("_values").isNull(), F.col("text")).otherwise(
+    replaced = F.when(F.col("_values").isNull(), F.col("text")).otherwise(
         F.aggregate("_values", text, lambda t, v: F.replace(t, v["v"], F.lit(mask))))
-    columns = {"text": masked}
+    columns = {"text": replaced}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(masked).cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(replaced).cast(docs.schema["n_chars"].dataType))
     return met.select(*[columns[c].alias(c) if c in columns else c for c in docs.columns])
+
+
+def hashed(docs: DataFrame, path: Column) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_hash"), "text", path.alias("_path"))
+
+
+def redacted(docs: DataFrame, common: DataFrame, model: RandomForestClassificationModel | None, path: Column,
+             mask: str = "<secret>", least: float = 0.5) -> DataFrame:
+    """``masked`` by ``scan``."""
+    return masked(docs, scan(hashed(docs, path), common, model, F.col("_path"), ("doc_id", "_hash"), least), mask)
+
+
+def learn_and_redact(docs: DataFrame, path: Column, mask: str = "<secret>", least: float = 0.5) -> DataFrame:
+    """``masked`` by ``learn_and_scan``."""
+    return masked(docs, learn_and_scan(hashed(docs, path), F.col("_path"), ("doc_id", "_hash"), least), mask)

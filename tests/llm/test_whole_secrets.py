@@ -2,17 +2,19 @@
 
 import re
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomdex.llm import secrets
 
 
 def test_dictionary_counts_every_document(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "zymurgical incomprehensibilities").otherwise(
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "zymurgical incomprehensibilities").otherwise(
         F.concat(F.lit("the loom w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).alias("text"))
-    assert secrets.dictionary(docs) == ["incomprehensibilities", "loom", "the", "zymurgical"]
+    common = secrets.dictionary(docs)
+    assert sorted(r.word for r in common.collect()) == ["incomprehensibilities", "loom", "the", "zymurgical"]
     found = spark.createDataFrame([(None, "theLoom/zymurgical+x9", "", "")], "path string, value string, before string, after string")
-    assert round(secrets.described(found, secrets.dictionary(docs)).first().coverage * 21) == 17
+    assert round(secrets.described(found, common).first().coverage * 21) == 17
 
 
 SHAPES = [
@@ -36,7 +38,7 @@ def test_secrets_without_quoted_assignment_are_found_and_masked(spark):
 
 def test_unassigned_runs_that_nothing_tells_of_teach_nothing(spark):
     docs = spark.createDataFrame([(1, "look at a1B2c3D4e5f6G7h8I9 here", "x")], "doc_id long, text string, path string")
-    found = secrets.plain_labels(secrets.described(secrets.candidates(docs, [], F.col("path")), []))
+    found = secrets.plain_labels(secrets.described(secrets.candidates(docs, [], F.col("path")), secrets.dictionary(docs)))
     assert [r.label for r in found.collect()] == [None]
 
 
@@ -44,4 +46,17 @@ def test_given_documents_lose_planted_tokens_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     path = F.col("source")
     after = {r.doc_id: r.text for r in secrets.redacted(docs, *secrets.learn(docs, path), path).collect()}
+    assert after == {r.doc_id: r.text for r in secrets.learn_and_redact(docs, path).collect()}
     assert after == {r.doc_id: re.sub('(token = ")[0-9a-f]{40}"', r'\1<secret>"', r.text) for r in docs.collect()}
+
+
+def test_a_session_that_has_observed_can_still_train_and_score(spark):
+    """An index run leaves an observation in the session; fitted models must not drag the session to tasks."""
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).count()
+    assert seen.get == {"n": 5}
+    rows = [(i, shape.format(value), "app") for i, (shape, value) in enumerate(SHAPES)]
+    rows += [(100 + i, f"the ordinarylongishword of commit {i:04d}{'9f8e7d6c5b4a' * 2} stays", "app") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    found = secrets.learn_and_scan(docs, F.col("path")).where("is_secret").collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(SHAPES)))
