@@ -11,7 +11,8 @@ are together the maximal exact repeats, and every word in one is removed.
 
 No pair of places is ever written out: a passage that a third of all documents
 share gives one row a place, joined to one row of the index. Both joins have
-stored tables on the small side, so hot hashes can be split.
+stored tables on the small side, so hot hashes can be split. Probes, the widest
+step, are made and joined in rounds, a part of the hashes each.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ WINDOW = 35
 #: A probe is one long: the upper 44 bits of its hash, then its place, of which the last value stands for all later ones.
 PLACE_BITS = 20
 LAST_PLACE = (1 << PLACE_BITS) - 1
+#: Probes are joined in so many rounds over parts of the hashes (at most 8), so that they never lie on disk together.
+ROUNDS = 2
+PART_BITS = 3
 
 
 def digest(pieces: list[bytes]) -> str:
@@ -47,8 +51,8 @@ def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["_key", "n_words", "sha"])
 
 
-def places(k: int, window: int, blocks_only: bool):
-    """(text id, text) to (text id, hash and place) of rolling windows of ``k`` words, or of the blocks only.
+def places(k: int, window: int, blocks_only: bool, part: int = 0, parts: int = 1):
+    """(text id, text) to (text id, hash and place) of rolling windows of ``k`` words, or of the blocks only; of one part of the hashes.
 
     Anchors only say where to look, so a shortened hash is enough: a chance
     match costs a look and changes no result.
@@ -69,6 +73,8 @@ def places(k: int, window: int, blocks_only: bool):
                 kept = only[row] & (np.diff(w.bounds)[row] >= window)
                 if blocks_only:
                     kept &= place % k == 0
+                if parts > 1:
+                    kept &= (rolled[at] >> np.uint64(64 - PART_BITS)) % np.uint64(parts) == part
                 high = rolled[at[kept]] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
                 packed = high | np.minimum(place[kept], LAST_PLACE).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -145,11 +151,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     hashed, spot = F.shiftright("probe", PLACE_BITS), F.xxhash64("text_id", "probe")
     blocks = pair.mapInArrow(places(k, window, True), fields)
     index = stored(blocks.groupBy(hashed.alias("hash")).agg(F.min(spot).alias("least"), F.max(spot).alias("most")), "index")
-    probes = pair.mapInArrow(places(k, window, False), fields)
-    met = probes.join(index.hint("shuffle_hash"), F.shiftright(probes["probe"], PLACE_BITS) == index["hash"])
     place = F.col("probe").bitwiseAND(LAST_PLACE).cast("int")
     elsewhere = (spot != F.col("least")) | (spot != F.col("most")) | (place == LAST_PLACE)
-    anchors = met.where(elsewhere).groupBy("text_id").agg(F.collect_set(place).alias("anchors"))
+    upper = F.shiftright("hash", 64 - PLACE_BITS - PART_BITS).bitwiseAND((1 << PART_BITS) - 1)
+    met = None
+    for part in range(ROUNDS):
+        probes = pair.mapInArrow(places(k, window, False, part, ROUNDS), fields)
+        mine = index.where(upper % ROUNDS == part).hint("shuffle_hash")
+        hits = probes.join(mine, F.shiftright(probes["probe"], PLACE_BITS) == mine["hash"]).where(elsewhere)
+        hits = stored(hits.groupBy("text_id").agg(F.collect_set(place).alias("anchors")), "hits")
+        met = hits if met is None else met.union(hits)
+    anchors = met.groupBy("text_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
     anchors = stored(anchors.join(same, "text_id").select("text_id", "rep.doc_id", "anchors"), "anchors")
 
     read = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_id"), text.alias("text"))
