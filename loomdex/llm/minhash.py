@@ -6,8 +6,8 @@ that agree on a band share a bucket. In the first rounds every member of a bucke
 compared with one leader of the bucket only, if it is not in the leader's
 component yet; that ties groups of any size with a few pairs a member. The last
 round looks at the pairs of a bucket that are still in different components;
-there large buckets are cut into blocks, and pairs of blocks are compared and
-verified in NumPy, so that links come out and not pairs. Together the rounds test every pair of every
+there large buckets are cut into blocks of sets of about one size, and pairs of blocks
+whose sizes allow a link are compared and verified in NumPy, so that links come out and not pairs. Together the rounds test every pair of every
 bucket that is not already tied.
 
 A test reads the signatures batch by batch. After each batch the pair is
@@ -19,12 +19,12 @@ on full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm import words as wd
@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 4
 #: Signature values read between two tests, and the posterior below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
 #: Rounds of leaders, and members of a block in the last round.
-LEADERS, BLOCK = 2, 256
+LEADERS, BLOCK = 2, 512
 
 
 def shingles(w: wd.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,9 +256,9 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
     # one row a class: its signature and the row that stands for it
     rep = F.min(F.struct(F.col("_key.doc_id").isNull().alias("none"), F.col("_key.doc_id").alias("doc_id"), F.col("_key._text").alias("text")))
     named = narrow(found.where("set is not null").groupBy("set").agg(rep.alias("rep")), "named")
-    classes = found.where("set is not null").select("set", "_key", "signature").join(named, "set").where(
+    classes = found.where("set is not null").select("set", "_key", "n_shingles", "signature").join(named, "set").where(
         F.col("_key.doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_key._text") == F.col("rep.text")))
-    classes = stored(classes.dropDuplicates(["set"]).select("set", "rep", "signature"), "classes")
+    classes = stored(classes.dropDuplicates(["set"]).select("set", "rep", "n_shingles", "signature"), "classes")
 
     shared = found.where("set is not null").select("set", F.posexplode("bands").alias("band", "bucket")).distinct()
     members = stored(shared, "members")
@@ -313,14 +313,29 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
         pairs = untested(pairs.select(F.col("set").alias("a"), F.col("leader.set").alias("b")), tested)
         settle(narrow(pruned(pairs, classes, threshold, batch, miss), "pairs"))
 
-    # the pairs of what is still mixed: a bucket of two has been tested, larger ones are compared block by block
-    rest = placed.where("n > 2").withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
-    rest = rest.withColumn("_mine", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
+    # the pairs of what is still mixed: a bucket of two has been tested, larger ones are compared block by block.
+    # sets that can link differ in size by the threshold at most, so by one size class: others never meet
+    sizes = classes.select("set", F.floor(F.log("n_shingles") / -log(min(threshold, 0.99))).cast("int").alias("_class"))
+    rest = narrow(placed.where("n > 2").join(sizes, "set"), "rest")
+    counts = narrow(rest.groupBy("bucket", "_class").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "counts")
+    for step in (-1, 0, 1):
+        near = counts.select("bucket", (F.col("_class") - step).alias("_class"), F.col("_blocks").alias(f"_n{step + 1}"))
+        rest = rest.join(near, ["bucket", "_class"], "left")
+    rest = narrow(rest.withColumn("_mine", F.pmod(F.xxhash64("set"), F.col("_n1")).cast("int")), "dealt")
     sets = sets_of(rest.select("set").distinct(), sets)
-    paired = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
-        "bucket", "band", "set", "component", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"),
-        F.signum(F.col("_mine") - F.col("_other")).cast("int").alias("side"))
-    last = paired.join(classes.select("set", "signature"), "set").join(sets, "set").groupBy("bucket", "_i", "_j").applyInArrow(
+
+    def meeting(step: int) -> Column:
+        others = F.transform(F.sequence(F.lit(0), F.col(f"_n{step + 1}") - 1), lambda i: F.struct(F.lit(step).alias("step"), i.alias("other")))
+        return F.coalesce(others, F.array().cast("array<struct<step:int,other:int>>"))
+
+    meets = F.concat(*map(meeting, (-1, 0, 1)))
+    step, other = F.col("_meets.step"), F.col("_meets.other")
+    paired = rest.withColumn("_meets", F.explode(meets)).select(
+        "bucket", "band", "set", "component", (F.col("_class") + F.least(step, F.lit(0))).alias("_low"), F.abs(step).alias("_up"),
+        F.when(step > 0, F.col("_mine")).when(step < 0, other).otherwise(F.least("_mine", other)).alias("_i"),
+        F.when(step > 0, other).when(step < 0, F.col("_mine")).otherwise(F.greatest("_mine", other)).alias("_j"),
+        F.when(step != 0, -step).otherwise(F.signum(F.col("_mine") - other).cast("int")).alias("side"))
+    last = paired.join(classes.select("set", "signature"), "set").join(sets, "set").groupBy("bucket", "_low", "_up", "_i", "_j").applyInArrow(
         block_links(threshold, batch, miss, rows, percent), "a long, b long")
     last = narrow(last, "links")
     if not last.isEmpty():
