@@ -28,8 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked."""
-    path = F.col("source")
-    return secrets.redacted(docs, *secrets.learn(docs, path), path)
+    return secrets.learn_and_redact(docs, F.col("source"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
