@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from loomdex.functions import paths
 from loomdex.functions.constants import CODE_MODEL, CODE_SUFFIXES, LANGUAGE_OF_SUFFIX, TEXT_MODEL
 from loomdex.functions.text import chunk_id, count_tokens, let, slice_lines, split_lines
+from loomdex.operators.lexer import code_only
 from loomdex.operators.running import running
 
 SPAN = T.StructType(
@@ -57,13 +58,6 @@ def python_spans(source: str):
 
 # --- brace languages ------------------------------------------------------
 
-NOISE = re.compile(
-    r'''//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`''', re.S
-)
-# a slash begins a regular expression where a value is due, elsewhere it divides
-SCRIPT_REGEX = r"(?:(?<=[=(,:;!&|?\[{}])|(?<=return))[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
-SCRIPT_NOISE = re.compile(NOISE.pattern + "|" + SCRIPT_REGEX, re.S)
-LINE_NOISE = r"""//.*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
 GO_EMPTY_TYPE = re.compile(r"\b(?:interface|struct)\s*\{\s*\}")
 AT_STATEMENT = r"(?:^|(?<=[;{}]))[ \t]*(?:export\s+)?(?:default\s+)?"
 NOT_A_NAME = r"(?!(?:if|for|while|switch|catch|with|return|function|new|do|else|try|throw|await|typeof|super|synchronized)\b)"
@@ -116,8 +110,7 @@ def brace_spans(source: str, language: str, headers: dict = HEADERS):
     Raises where the body of a declaration has no end: the file is then better
     one chunk than cut short.
     """
-    script = headers[language] is SCRIPT_HEADERS
-    text = (SCRIPT_NOISE if script else NOISE).sub(blank, source.replace("\r\n", "\n").replace("\r", "\n"))
+    text = code_only(source, "javascript" if headers[language] is SCRIPT_HEADERS else language)
     if language == "go":
         text = GO_EMPTY_TYPE.sub(blank, text)
     closing, open_at = {}, []
@@ -310,19 +303,24 @@ def outermost(chunks: DataFrame, lines_per_block: int = 4096) -> DataFrame:
     return reach.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("end_line"))).drop("_reach")
 
 
-def brace_depth(files: DataFrame, lines_per_block: int = 4096) -> DataFrame:
-    """``path, line_no, depth``: brace depth after each line of each file.
+@F.pandas_udf(T.StringType())
+def code_of(content: pd.Series, language: pd.Series) -> pd.Series:
+    """Sources with comments, strings, templates and regular expressions blanked."""
+    return pd.Series([None if source is None else code_only(source, name) for source, name in zip(content, language)], dtype=object)
+
 
-    Comments and strings that end on their line do not count.
+def brace_depth(files: DataFrame, lines_per_block: int = 4096, languages: Languages = BUILT_IN) -> DataFrame:
+    """``path, line_no, depth``: depth of braces in code after each line of each file.
+
+    Comments, strings, templates and regular expressions of any number of lines do not count.
     """
-    code = F.regexp_replace("line", LINE_NOISE, "")
-    lines = files.select("path", F.posexplode(split_lines(F.col("content"))).alias("pos", "line")).select(
+    code = code_of("content", language(F.col("path"), languages))
+    lines = files.select("path", F.posexplode(split_lines(code)).alias("pos", "line")).select(
         "path",
         (F.col("pos") + 1).alias("line_no"),
-        (F.regexp_count(code, F.lit("\\{")) - F.regexp_count(code, F.lit("\\}"))).cast("long").alias("step"),
+        (F.regexp_count("line", F.lit("\\{")) - F.regexp_count("line", F.lit("\\}"))).cast("long").alias("step"),
     )
     block = F.floor(F.col("line_no") / lines_per_block)
     return running(lines, ["path"], block, ["line_no"], F.col("step"), "sum", "depth").select(
         "path", "line_no", F.col("depth").cast("long").alias("depth")
     )
-
