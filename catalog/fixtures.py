@@ -61,18 +61,25 @@ def py_sources(spark, sf) -> DataFrame:
 
 
 def brace_sources(spark, sf) -> DataFrame:
-    """JavaScript, Go and Java files."""
+    """JavaScript, TypeScript, Go and Java files; braces hide in comments, text blocks, templates and regular expressions."""
     part, supplier = table(spark, sf, "part"), table(spark, sf, "supplier")
     js = fmt("function f_%d(a) {\n  if (a) {\n    return %d;\n  }\n  return 0;\n}\n", "p_partkey", "p_size")
     klass = fmt("class K_%1$d {\n  m_%1$d() {\n    return 1;\n  }\n}\n", "s_suppkey")
     go = fmt("func F_%d(a int) int {\n\treturn %d // }\n}\n", "p_partkey", "p_size")
     java = fmt("  int m_%d(int a) {\n    return %d;\n  }\n", "p_partkey", "p_size")
+    ts = fmt(
+        "/* t_%1$d {\n   { */\nexport function t_%1$d(a: number): string {\n  const r = /[{]/.test(\"}\");\n"
+        "  return `x${a > %2$d ? `{${a}` : \"}\"} {`;\n}\n", "p_partkey", "p_size")
+    block = fmt(
+        'class T_%1$d {\n  String s = """\n    { "\n    """;\n  int n_%1$d() {\n    return 1; /* } */\n  }\n}\n', "s_suppkey")
     brand = F.col("p_brand")
     return (
         module_files(part, "p_partkey", brand, "src/js", ".js", js)
         .unionByName(module_files(supplier, "s_suppkey", F.col("s_nationkey"), "src/jsc", ".js", klass))
         .unionByName(module_files(part, "p_partkey", brand, "src/go", ".go", go, "package p\n\n"))
         .unionByName(module_files(part, "p_partkey", brand, "src/java", ".java", java, "class C {\n", "}\n"))
+        .unionByName(module_files(part, "p_partkey", brand, "src/ts", ".ts", ts))
+        .unionByName(module_files(supplier, "s_suppkey", F.col("s_nationkey"), "src/javat", ".java", block))
     )
 
 
@@ -133,6 +140,20 @@ def doc_vectors(spark, sf) -> DataFrame:
     )
 
 
+def doc_index(spark, sf) -> DataFrame:
+    """Every document as a chunk with metadata and its hashed vector."""
+    digit = F.col("chunk_id") % 10
+    return doc_vectors(spark, sf).withColumns({
+        "kind": F.when(digit <= 4, "function").when(digit <= 7, "class").otherwise("file"),
+        "type": F.when(digit <= 4, "function").when(digit <= 7, "class").otherwise("file"),
+        "name": F.concat(F.lit("c_"), F.col("chunk_id").cast("string")),
+        "path": F.concat(F.lit("v/c_"), F.col("chunk_id").cast("string"), F.lit(".py")),
+        "start_line": (F.col("chunk_id") + 1).cast("int"),
+        "end_line": (F.col("chunk_id") + 10).cast("int"),
+        "tokens": count_tokens(F.col("text")),
+    })
+
+
 def request_lines(spark, sf) -> DataFrame:
     """Request lines of all sorts, good and bad, around the text queries."""
     q = F.col("query_id")

@@ -67,23 +67,30 @@ def top(source: str, k, by: str = "query_id", rank: str = "rank") -> str:
     )
 
 
-VPACKED = f"""{VPAIRS}, texted AS (SELECT p.* FROM pairs p JOIN vchunks c USING (chunk_id) WHERE c.text IS NOT NULL), hits AS ({top('texted', 5)}),
-packed AS (
-  SELECT h.query_id, h.chunk_id, h.distance, h.rank, c.path, c.kind AS type, c.name, c.start_line, c.end_line, c.text, c.tokens,
-    sum(c.tokens) OVER (PARTITION BY h.query_id ORDER BY h.rank) AS cum
-  FROM hits h JOIN vchunks c USING (chunk_id)),
-fit AS (SELECT *, cum <= 1500 AS packed FROM packed)"""
-
 HEADER = (
     "'File: ' || path || ', Type: ' || type || ', Name: ' || name || ', Lines: ' || start_line || '-' || end_line "
     "|| chr(10) || text || chr(10)"
 )
 
+
+
 TEXT_QUERIES = """tq AS (
   SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'
   UNION ALL SELECT -item_id - 1, text FROM benchmark)"""
 
 
+DOC_PACKED = f"""{TEXT_QUERIES}, nq AS (SELECT id, {NORMAL.format('text')} AS text FROM tq), dt AS (SELECT doc_id AS id, text FROM documents),
+{vectors('qv', 'nq')}, {vectors('dv', 'dt')},
+pairs AS (SELECT q.id AS query_id, c.id AS chunk_id, {distance('q', 'c')} AS distance FROM qv q CROSS JOIN dv c),
+hits AS ({top('pairs', 5)}),
+packed AS (
+  SELECT h.*, 'v/c_' || doc_id || '.py' AS path, CASE WHEN doc_id % 10 <= 4 THEN 'function' WHEN doc_id % 10 <= 7 THEN 'class' ELSE 'file' END AS type,
+    'c_' || doc_id AS name, CAST(doc_id + 1 AS INTEGER) AS start_line, CAST(doc_id + 10 AS INTEGER) AS end_line, text, {TOKENS.format('text')} AS tokens,
+    sum({TOKENS.format('text')}) OVER (PARTITION BY query_id ORDER BY rank) AS cum
+  FROM hits h JOIN documents ON doc_id = chunk_id),
+fit AS (SELECT *, cum <= 1500 AS packed FROM packed)"""
+
+
 def contexts(queries: str, packed: str) -> str:
     return f"""SELECT q.id AS query_id, md5(coalesce(content, '')) AS content_md5, length(coalesce(content, '')) AS chars,
   coalesce(hits, 0) AS hits, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens
@@ -175,11 +182,39 @@ BRACE_CHUNKS = " UNION ALL ".join([
     span("'src/java/' || file || '.java'", "java", "class_declaration", "class", "'C'", "1", "3 * n + 2",
          "E'class C {\\n' || body || E'\\n}'",
          f"(SELECT file, count(*) AS n, string_agg({JAVA_METHOD}, chr(10) ORDER BY i) AS body FROM {PARTS} GROUP BY file)"),
+    span("'src/ts/' || file || '.ts'", "typescript", "function_declaration", "function", "'t_' || p_partkey", "6 * i - 3", "6 * i",
+         "'export function t_' || p_partkey || E'(a: number): string {\\n  const r = /[{]/.test(\"}\");\\n  return `x${a > ' || p_size "
+         "|| E' ? `{${a}` : \"}\"} {`;\\n}'", PARTS),
+    span("'src/javat/' || file || '.java'", "java", "class_declaration", "class", "'T_' || s_suppkey", "8 * i - 7", "8 * i",
+         "'class T_' || s_suppkey || E' {\\n  String s = \"\"\"\\n    { \"\\n    \"\"\";\\n  int n_' || s_suppkey "
+         "|| E'() {\\n    return 1; /* } */\\n  }\\n}'", SUPPLIERS),
+    span("'src/javat/' || file || '.java'", "java", "method_declaration", "function", "'n_' || s_suppkey", "8 * i - 3", "8 * i - 1",
+         "'  int n_' || s_suppkey || E'() {\\n    return 1; /* } */\\n  }'", SUPPLIERS),
 ])
 
+# What an incremental run leaves of the files, and BM25 of the text queries over it.
+LIVE = """live AS (SELECT f.*, sha256(concat_ws('|', path, 'file', name, '1', text)) AS chunk_id
+  FROM fchunks f LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0)"""
+WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def bm25(queries: str, k: int) -> str:
+    return f"""lw AS (SELECT chunk_id, {WORDS.format('text')} AS t FROM live),
+ltf AS (SELECT chunk_id, len(t) AS dl, w AS term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS w FROM lw) GROUP BY ALL),
+ls AS (SELECT count(*) AS n, avg(len(t)) AS al FROM lw),
+ldf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM ltf, ls GROUP BY term, n),
+qw AS (SELECT DISTINCT id, unnest({WORDS.format('text')}) AS term FROM {queries}),
+bm AS (
+  SELECT id AS query_id, chunk_id, round(sum(w * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / al))), 6) AS score
+  FROM qw JOIN ldf USING (term) JOIN ltf USING (term), ls GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= {k})"""
+
+
 CACHED = "cached AS (SELECT md5(text || '-codebert-base') AS key, max(doc_id) AS version FROM documents SEMI JOIN labels USING (doc_id) GROUP BY ALL)"
 FEEDBACK = "SELECT user_id AS query_id, event_id % 50 AS chunk_id, count(*) FILTER (event_type IN ('purchase', 'click')) AS positive, count(*) FILTER (event_type = 'error') AS negative, count(*) AS total FROM events GROUP BY ALL"
 RATE = "SELECT user_id AS key, date_trunc('day', ts) AS window_start, count(*) AS requests, count(*) > 5 AS over_limit FROM events GROUP BY ALL"
+ADMIT = """SELECT event_id AS id, user_id AS key, date_trunc('day', ts) AS window_start,
+  row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 5 AS admitted FROM events"""
 
 ORACLE = {
     "scan_suffix_filter": f"""WITH {FILES}, s AS (SELECT path, regexp_extract(path, '[.][a-z]+$') AS suffix FROM files)
@@ -210,6 +245,10 @@ SELECT path, type, kind, name, start_line, end_line, md5(text) AS text_md5, toke
 FROM {PARTS} CROSS JOIN (SELECT unnest(range(6)) AS o)
 UNION ALL SELECT 'src/jsc/' || file || '.js', 5 * i - 4 + o, [1, 2, 2, 1, 0][o + 1]::BIGINT
 FROM {SUPPLIERS} CROSS JOIN (SELECT unnest(range(5)) AS o)
+UNION ALL SELECT 'src/ts/' || file || '.ts', 6 * i - 5 + o, [0, 0, 1, 1, 1, 0][o + 1]::BIGINT
+FROM {PARTS} CROSS JOIN (SELECT unnest(range(6)) AS o)
+UNION ALL SELECT 'src/javat/' || file || '.java', 8 * i - 7 + o, [1, 1, 1, 1, 2, 2, 1, 0][o + 1]::BIGINT
+FROM {SUPPLIERS} CROSS JOIN (SELECT unnest(range(8)) AS o)
 UNION ALL SELECT 'src/go/' || file || '.go', 3 * i + o, [1, 1, 0][o + 1]::BIGINT FROM {PARTS} CROSS JOIN (SELECT unnest(range(3)) AS o)
 UNION ALL SELECT DISTINCT 'src/go/' || file || '.go', unnest([1, 2]), 0 FROM {PARTS}
 UNION ALL SELECT 'src/java/' || file || '.java', 3 * i - 1 + o, [2, 2, 1][o + 1]::BIGINT FROM {PARTS} CROSS JOIN (SELECT unnest(range(3)) AS o)
@@ -244,6 +283,11 @@ SELECT * FROM i WHERE index_version IS NULL OR index_version < '2025-06-02'""",
   end_line, tokens, round(n, 6) AS norm FROM kept JOIN kv ON kv.id = kept.chunk_id""",
     "knn_exact": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
     "knn_ann_trained": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
+    "knn_tiled": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
+    "knn_ann_after_update": f"""WITH {FILES}, {FILE_CHUNKS}, {NORMAL_QUERIES},
+{LIVE}, lt AS (SELECT chunk_id AS id, text FROM live), {vectors('lv', 'lt')}, {vectors('qv', 'nq')},
+p AS (SELECT q.id AS query_id, live.chunk_id, space, {distance('q', 'c')} AS distance FROM qv q CROSS JOIN lv c JOIN live ON live.chunk_id = c.id)
+SELECT query_id, chunk_id, space, round(distance, 6) AS distance, rank FROM ({top('p', 5)})""",
     "knn_filtered": f"""WITH {VPAIRS}, f AS (SELECT * FROM pairs WHERE (kind = 'class' OR label >= 8) AND space <> 'text')
 SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('f', 10)})""",
     "knn_two_spaces": f"""WITH {VPAIRS}, s AS ({top('pairs', 5, 'query_id, space', 'space_rank')})
@@ -272,16 +316,24 @@ scored AS (
   FROM h JOIN words a ON a.id = query_id JOIN dwords b ON b.id = chunk_id)
 SELECT query_id, chunk_id, round(distance, 6) AS distance, first_rank, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, chunk_id) AS rank FROM scored) WHERE rank <= 5""",
+    "lexical_bm25": f"WITH {FILES}, {FILE_CHUNKS}, {TEXT_QUERIES}, {LIVE}, {bm25('tq', 10)} SELECT query_id, chunk_id, score, rank FROM best",
+    "hybrid_search": f"""WITH {FILES}, {FILE_CHUNKS}, {NORMAL_QUERIES}, {LIVE}, {bm25('nq', 20)},
+lt AS (SELECT chunk_id AS id, text FROM live), {vectors('lv', 'lt')}, {vectors('qv', 'nq')},
+p AS (SELECT q.id AS query_id, c.id AS chunk_id, {distance('q', 'c')} AS distance FROM qv q CROSS JOIN lv c),
+hits AS ({top('p', 20)}),
+both_lists AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM hits UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM best),
+fusion AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score FROM both_lists GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fusion) WHERE rank <= 5""",
     "semantic_dedup": f"""WITH dt AS (SELECT doc_id AS id, text FROM documents), {vectors('dv', 'dt')}
 SELECT b.id AS chunk_id, min(a.id) AS duplicate_of FROM dv a JOIN dv b ON a.id < b.id AND a.n > 0 AND b.n > 0
 WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98 GROUP BY b.id""",
-    "context_for_query": f"WITH {VPACKED}, q AS (SELECT chunk_id AS id FROM vchunks) {contexts('q', 'fit')}",
-    "search_results": f"""WITH {VPACKED} SELECT query_id, rank, chunk_id, round(distance, 6) AS distance, path, type, name, start_line, end_line,
+    "context_for_query": f"WITH {DOC_PACKED} {contexts('tq', 'fit')}",
+    "search_results": f"""WITH {DOC_PACKED} SELECT query_id, rank, chunk_id, round(distance, 6) AS distance, path, type, name, start_line, end_line,
   md5(text) AS text_md5, tokens, CAST(cum AS BIGINT) AS cum, packed FROM fit""",
-    "stream_events": f"""WITH {VPACKED}, p AS (SELECT * FROM fit WHERE packed)
+    "stream_events": f"""WITH {DOC_PACKED}, p AS (SELECT * FROM fit WHERE packed)
 SELECT query_id, CAST(rank AS INTEGER) AS seq, 'chunk' AS event, md5(text) AS content_md5, path, NULL::BIGINT AS tokens FROM p
-UNION ALL SELECT v.chunk_id, CAST(1 + count(p.query_id) AS INTEGER), 'end', NULL, NULL, CAST(coalesce(max(cum), 0) AS BIGINT)
-FROM vchunks v LEFT JOIN p ON p.query_id = v.chunk_id GROUP BY v.chunk_id""",
+UNION ALL SELECT tq.id, CAST(1 + count(p.query_id) AS INTEGER), 'end', NULL, NULL, CAST(coalesce(max(cum), 0) AS BIGINT)
+FROM tq LEFT JOIN p ON p.query_id = tq.id GROUP BY tq.id""",
     "context_for_text": f"""WITH {TEXT_INDEX}, {NORMAL_QUERIES}, {vectors('qv', 'nq')},
 p AS (SELECT q.id AS query_id, kept.*, {distance('q', 'c')} AS distance FROM qv q CROSS JOIN kv c JOIN kept ON kept.chunk_id = c.id),
 h AS ({top('p', 5)}),
@@ -299,8 +351,8 @@ SELECT conv_id, turn,
     ELSE CASE WHEN starts_with(lines[1], 'data:') THEN trim(lines[1][6:]) ELSE E'event: note\\n' || text END END) AS data_md5 FROM e""",
     "rate_limit_audit": RATE,
     "rate_limit_stream": RATE,
-    "rate_limit_admit": """SELECT event_id AS id, user_id AS key, date_trunc('day', ts) AS window_start,
-  row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 5 AS admitted FROM events""",
+    "rate_limit_admit": ADMIT,
+    "rate_limit_live": ADMIT,
     "feedback_counts": FEEDBACK,
     "feedback_stream": FEEDBACK,
     "watch_incremental": f"""WITH {FILES}, {FILE_CHUNKS}

@@ -10,11 +10,13 @@ from loomdex.functions import paths, text
 from loomdex.functions.constants import CODE_MODEL, DEFAULT_IGNORE_RULES, EMBED_BATCH, SNIFF_BYTES
 from loomdex.functions.vectors import hashed_vector
 from loomdex.operators import ann, chunking, dedup, embedding, knn, logs, packing, ranking, requests, tables
+from loomdex.plans.cells import CellIndex
 from loomdex.plans.indexer import Indexer
+from loomdex.plans.lexicon import LexicalIndex
 from loomdex.plans.searcher import Searcher
 from loomdex.session import materialize, scratch_dir
 from loomdex.sources import project
-from loomdex.streaming import jobs
+from loomdex.streaming import admission, jobs
 
 USER_RULES = ("*.json", "!src3/**/*.json", "/src4/de", "src[5-7]/*/*.tx?", "!build/")
 CONTEXT_BUDGET = 1500
@@ -226,7 +228,7 @@ def knn_two_spaces(spark, sf):
     return hit_rows(merged.select("query_id", "chunk_id", F.col("scope").alias("space"), "distance", "space_rank", "rank"))
 
 
-CELLS, PROBES = 16, 4
+CELLS, PROBES, REFINE = 16, 4, 40
 
 
 def knn_ann(spark, sf):
@@ -248,6 +250,30 @@ def knn_ann_trained(spark, sf):
     return hit_rows(hits.select("query_id", "chunk_id", "distance", "rank"))
 
 
+def knn_ann_after_update(spark, sf):
+    """Cells built over old versions of the labelled documents, then brought up to an incremental run, never rebuilt.
+
+    The run replaces what it knew, adds all other documents and deletes the toxic ones.
+    """
+    first, second = file_drops(spark, sf)
+    indexer = Indexer(spark, scratch_dir(spark))
+    indexer.index_full(first)
+    cells = CellIndex.of(indexer.store, scratch_dir(spark), cells=CELLS)
+    indexer.index_incremental(second, complete=False)
+    searcher = Searcher.of(indexer.store, cells=cells.update(indexer.store), probes=CELLS, refine=REFINE)
+    return hit_rows(searcher.hits(fx.text_queries(spark, sf), k=5).select("query_id", "chunk_id", "space", "distance", "rank"))
+
+
+def knn_tiled(spark, sf):
+    """All vectors as queries, dealt in tiles of queries and vectors as query sets past the broadcast bound are."""
+    rows = knn.query_rows(fx.vector_queries(spark, sf), 5, 1)
+    index = fx.bare_vectors(spark, sf).select("chunk_id", F.col("space").alias("scope"), "embedding")
+    schema = "query_id bigint, chunk_id bigint, scope string, distance double, k int"
+    found = knn.scan_in_tiles(index, rows, schema, lambda block: knn.BestSoFar(block, False))
+    others = found.where("query_id <> chunk_id").withColumn("k", F.col("k") - 1)
+    return hit_rows(knn.ranked(others, ["query_id"]).select("query_id", "chunk_id", "distance", "rank"))
+
+
 def hashed_queries(spark, sf):
     return fx.text_queries(spark, sf).select("query_id", hashed_vector(text.normalise_query(F.col("text"))).alias("embedding"))
 
@@ -259,6 +285,27 @@ def rerank_lexical(spark, sf):
     return wide_ranks(rounded(best, "distance", "score")).select("query_id", "chunk_id", "distance", "first_rank", "score", "rank")
 
 
+def updated_lexicon(spark, sf):
+    """An index and its postings: built over old versions, then brought up to a run that replaces, adds and deletes."""
+    first, second = file_drops(spark, sf)
+    indexer = Indexer(spark, scratch_dir(spark))
+    indexer.index_full(first)
+    lexicon = LexicalIndex.of(indexer.store, scratch_dir(spark))
+    indexer.index_incremental(second, complete=False)
+    return indexer.store, lexicon.update(indexer.store)
+
+
+def lexical_bm25(spark, sf):
+    """Ten best chunks by words of every text query, over postings that followed an index run."""
+    _, lexicon = updated_lexicon(spark, sf)
+    return wide_ranks(lexicon.search(fx.text_queries(spark, sf), 10))
+
+
+def hybrid_search(spark, sf):
+    store, lexicon = updated_lexicon(spark, sf)
+    return wide_ranks(Searcher.of(store).hybrid(fx.text_queries(spark, sf), lexicon, k=5, candidates=20))
+
+
 def semantic_dedup(spark, sf):
     return dedup.near_duplicates(materialize(fx.doc_vectors(spark, sf).drop("text"), "vectors"), NEAR_EQUAL)
 
@@ -267,8 +314,9 @@ def semantic_dedup(spark, sf):
 
 
 def vector_packed(spark, sf, budget=CONTEXT_BUDGET):
-    index = fx.vector_chunks(spark, sf).where("text is not null")
-    hits = knn.nearest(index, fx.vector_queries(spark, sf), k=5, exclude_self=True)
+    """Packed hits among all documents, for every text query."""
+    index = fx.doc_index(spark, sf)
+    hits = knn.nearest(index, hashed_queries(spark, sf), k=5)
     return packing.pack(packing.fetch_chunks(hits.drop("scope"), index), budget)
 
 
@@ -280,7 +328,7 @@ def flat_contexts(answers):
 
 
 def context_for_query(spark, sf):
-    return flat_contexts(packing.contexts(fx.vector_queries(spark, sf), vector_packed(spark, sf)))
+    return flat_contexts(packing.contexts(fx.text_queries(spark, sf), vector_packed(spark, sf)))
 
 
 def search_results(spark, sf):
@@ -289,7 +337,7 @@ def search_results(spark, sf):
 
 
 def stream_events(spark, sf):
-    rows = packing.event_rows(fx.vector_queries(spark, sf), vector_packed(spark, sf))
+    rows = packing.event_rows(fx.text_queries(spark, sf), vector_packed(spark, sf))
     data = F.from_json("data", "content string, metadata struct<path:string,start_line:int>, tokens bigint")
     return rows.withColumn("d", data).select(
         "query_id", "seq", "event", F.md5("d.content").alias("content_md5"), F.col("d.metadata.path").alias("path"), "d.tokens"
@@ -371,14 +419,14 @@ def run_stream(stream, out, checkpoint, mode="append"):
     ).start(out).awaitTermination()
 
 
-def streamed_events(spark, sf, columns, end_time):
-    """Events as file drops, and one row far ahead that moves the watermark past them all."""
+def streamed_events(spark, sf, columns, end_time, files_at_once=1000):
+    """Events as file drops in no order, and one row far ahead that moves the watermark past them all."""
     drop = scratch_dir(spark)
     rows = columns(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     last = rows.agg(*[F.max(c).alias(c) for c in rows.columns]).withColumn("ts", F.lit(end_time).cast("timestamp"))
-    rows.write.parquet(drop)
+    (rows.repartition(4, F.xxhash64(rows.columns[0])) if files_at_once == 1 else rows).write.parquet(drop)
     last.coalesce(1).write.mode("append").parquet(drop)
-    return spark.readStream.schema(rows.schema).parquet(drop)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_at_once).parquet(drop)
 
 
 END_OF_TIME = "2100-01-01 00:00:00"
@@ -397,6 +445,14 @@ def rate_limit_stream(spark, sf):
     return closed_windows(spark, out)
 
 
+def rate_limit_live(spark, sf):
+    """Decisions taken while the requests stream in, out of order."""
+    stream = streamed_events(spark, sf, fx.request_log, END_OF_TIME, files_at_once=1)
+    out, checkpoint = scratch_dir(spark), scratch_dir(spark)
+    run_stream(admission.admit_stream(stream, "40 days", period="1 day", limit=5), out, checkpoint)
+    return closed_windows(spark, out)
+
+
 def feedback_stream(spark, sf):
     stream = streamed_events(spark, sf, fx.feedback, END_OF_TIME)
     out, checkpoint = scratch_dir(spark), scratch_dir(spark)
@@ -404,7 +460,7 @@ def feedback_stream(spark, sf):
     return closed_windows(spark, out).groupBy("query_id", "chunk_id").agg(*[F.sum(c).alias(c) for c in ("positive", "negative", "total")])
 
 
-def watch_incremental(spark, sf):
+def file_drops(spark, sf):
     """Files as two drops: first what the state knew, then every current version; toxic ones are deleted."""
     labels = fx.table(spark, sf, "labels")
     files = fx.doc_files(spark, sf).join(labels, "doc_id", "left").withColumn("mtime", F.col("mtime").cast("timestamp"))
@@ -413,9 +469,13 @@ def watch_incremental(spark, sf):
         "path", F.concat(F.lit("old "), "content").alias("content"), (F.col("mtime") - hour).alias("mtime")
     )
     second = files.select("path", F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("content")).alias("content"), "mtime")
+    return first, second
+
+
+def watch_incremental(spark, sf):
     drop, root, checkpoint = (scratch_dir(spark) for _ in range(3))
     indexer = Indexer(spark, root)
-    for versions in (first, second):
+    for versions in file_drops(spark, sf):
         versions.write.mode("append").parquet(drop)
         stream = spark.readStream.schema(versions.schema).parquet(drop)
         jobs.watch_files(stream, indexer, checkpoint, once=True).awaitTermination()
@@ -427,9 +487,9 @@ QUERIES = [
     file_chunks_fallback, python_chunks, brace_chunks, brace_depth, chunk_ids, outermost_chunks,
     changed_files, file_state_upsert, index_replace_deleted, embed_cache_misses, embed_cache_upsert,
     hashed_embedding, mean_pooling, batch_rows, index_counts, stale_versions, index_full,
-    knn_exact, knn_filtered, knn_two_spaces, knn_ann, knn_ann_trained, rerank_lexical, semantic_dedup,
+    knn_exact, knn_filtered, knn_two_spaces, knn_ann, knn_ann_trained, knn_ann_after_update, knn_tiled, rerank_lexical, lexical_bm25, hybrid_search, semantic_dedup,
     context_for_query, search_results, stream_events, context_for_text,
     query_normalise, request_validation, request_replies, event_parse,
     rate_limit_audit, rate_limit_admit, feedback_counts,
-    request_stream, rate_limit_stream, feedback_stream, watch_incremental,
+    request_stream, rate_limit_stream, rate_limit_live, feedback_stream, watch_incremental,
 ]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -45,12 +46,20 @@ def test(column, op: str, value):
     if not series:
         return F.coalesce(COMPARE[op](column, value), F.lit(OF_NULL.get(op, False)))
     there = column.notna()
-    result = pd.Series(OF_NULL.get(op, False), index=column.index)
-    try:
-        result[there] = COMPARE[op](column[there], value).astype(bool)
-    except TypeError:  # a value of another kind than the column's compares with none of its values
-        pass
-    return result
+    result = np.full(len(column), OF_NULL.get(op, False))
+    if comparable(column[there], op, value):
+        result[there.to_numpy()] = COMPARE[op](column[there], value).to_numpy(dtype=bool)
+    return pd.Series(result, index=column.index)
+
+
+def comparable(column: pd.Series, op: str, value) -> bool:
+    """Whether ``op`` can tell anything; a value of another kind than the column's is neither more nor less."""
+    if op not in ("$gt", "$gte", "$lt", "$lte"):
+        return True
+    kind = pd.api.types.infer_dtype(column)
+    if kind in ("datetime64", "datetime", "date"):
+        return not isinstance(value, (int, float)) and not pd.isna(pd.to_datetime(value, errors="coerce"))
+    return (kind == "string") if isinstance(value, str) else kind in ("integer", "floating", "mixed-integer-float", "decimal", "boolean")
 
 
 def columns_of(where: dict | None) -> set[str]:

@@ -1,16 +1,16 @@
 """Nearest chunks per query by cosine distance, exact.
 
-The index is read once and never shuffled: every task holds the (checked,
-bounded) query matrix, multiplies it with each Arrow batch of vectors and keeps
-the best k per query. Only those candidates are shuffled, by query. Query sets
-past the bound are cut into slices within it, each of which reads the index.
+The index is read once. Up to a checked bound of queries it is never shuffled:
+every task holds the query matrix, multiplies it with each Arrow batch of
+vectors and keeps the best k per query; only those candidates are shuffled, by
+query. Larger query sets never come to the driver: groups of queries meet slabs
+of vectors in tiles, and the best of each tile are merged.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,21 +133,31 @@ class BestSoFar:
         ids = batch["chunk_id"].to_pandas()
         scopes = batch["scope"].to_pandas()
         widths = pc.list_value_length(batch["embedding"]).to_numpy(zero_copy_only=False)
-        columns = {c.removeprefix(CARRIED): batch[c].to_pandas() for c in batch.schema.names if c.startswith(CARRIED)}
+        columns = self.carried(batch)
         masks, frames = {}, []
         for scope, at in scopes.groupby(scopes).indices.items():
             for lane in (self.block.lanes.get(scope), self.block.lanes.get(None)):
                 for (where, width), queries in (lane or {}).items():
-                    rows = at[widths[at] == width]
-                    if where is not None:
-                        if where not in masks:
-                            masks[where] = filter_mask(where, columns, len(ids))
-                        rows = rows[masks[where][rows]]
+                    rows = self.passing(where, at[widths[at] == width], columns, masks, len(ids))
                     if len(rows):
                         vectors = as_matrix(batch["embedding"].take(pa.array(rows)), width)
                         frames += self.candidates(scope, ids, rows, vectors, queries, width)
         self.offer(frames)
 
+    @staticmethod
+    def carried(batch) -> dict:
+        """The columns that filters read."""
+        return {c.removeprefix(CARRIED): batch[c].to_pandas() for c in batch.schema.names if c.startswith(CARRIED)}
+
+    @staticmethod
+    def passing(where: str | None, rows: np.ndarray, columns: dict, masks: dict, size: int) -> np.ndarray:
+        """Those of ``rows`` that pass a query's own filter; each filter is evaluated once a batch."""
+        if where is None:
+            return rows
+        if where not in masks:
+            masks[where] = filter_mask(where, columns, size)
+        return rows[masks[where][rows]]
+
     def candidates(self, scope, ids, rows, vectors, queries, width):
         matrix, query_norms, query_units = self.block.vectors[width]
         norms = norms_of(vectors)
@@ -197,14 +207,6 @@ def filter_mask(where: str, columns: dict, size: int) -> np.ndarray:
     return np.ones(size, dtype=bool) if mask is None else mask.to_numpy(dtype=bool)
 
 
-def filter_columns(wheres, known: list[str]) -> list[str]:
-    """The columns that the queries' own filters name; one the index lacks is an error."""
-    named = set().union(*(columns_of(json.loads(w)) for w in set(wheres) if w is not None))
-    if missing := sorted(named - set(known)):
-        raise ValueError(f"the index has no column {missing[0]!r} to filter on")
-    return sorted(named)
-
-
 def query_rows(queries: DataFrame, k: int, extra: int) -> DataFrame:
     """Fill in the optional columns ``k``, ``scopes`` (null = all) and ``where`` (JSON)."""
     have = set(queries.columns)
@@ -218,21 +220,25 @@ def query_rows(queries: DataFrame, k: int, extra: int) -> DataFrame:
     ).where("k > 0")
 
 
-def slices(rows: DataFrame) -> list[DataFrame]:
-    """``rows`` in parts that are few and small enough to broadcast; a query's rows stay together."""
-    n, components = rows.agg(F.count("*"), F.sum(F.size("embedding"))).first()
-    parts = max(-(-n // MAX_BROADCAST_QUERIES), -(-(components or 0) * 20 // MAX_BROADCAST_BYTES), 1)
-    if parts == 1:
-        return [rows]
-    stored = materialize(rows, "queries")
-    return [stored.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+def filter_names(batches):
+    """Filters (JSON) to the names of the columns they read."""
+    for batch in batches:
+        named = set().union(*(columns_of(json.loads(w)) for w in batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(named), pa.string())], ["name"])
 
 
-def scan_with_broadcast(vectors: DataFrame, table: pa.Table, per_scope: bool, schema: str) -> DataFrame:
+def few(rows: DataFrame) -> pa.Table | None:
+    """All query rows, if they are few and small enough to go to every task."""
+    table = rows.limit(MAX_BROADCAST_QUERIES + 1).toArrow()
+    size = 20 * (pc.sum(pc.list_value_length(table["embedding"])).as_py() or 0)
+    return table if table.num_rows <= MAX_BROADCAST_QUERIES and size <= MAX_BROADCAST_BYTES else None
+
+
+def scan_with_broadcast(vectors: DataFrame, table: pa.Table, schema: str, kernel) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(vars(QueryBlock.of(table)))
 
     def run(batches):
-        best, chunk_type = BestSoFar(QueryBlock(**shared.value), per_scope), None
+        best, chunk_type = kernel(QueryBlock(**shared.value)), None
         for batch in batches:
             chunk_type = batch.schema.field("chunk_id").type
             if batch.num_rows:
@@ -243,6 +249,73 @@ def scan_with_broadcast(vectors: DataFrame, table: pa.Table, per_scope: bool, sc
     return vectors.mapInArrow(run, schema)
 
 
+def scan_in_tiles(vectors: DataFrame, rows: DataFrame, schema: str, kernel) -> DataFrame:
+    """Any number of query rows: groups of queries times slabs of vectors, each pair of them one partition.
+
+    The vectors are read once and dealt to every group of queries, the queries to
+    every slab. A partition holds its group and streams its slab, so memory
+    follows the bounded group; there are as many slabs as keep all cores at
+    work, and only the best of a slab go on.
+    """
+    session = rows.sparkSession
+    n, components = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    groups = max(-(-n // MAX_BROADCAST_QUERIES), -(-components * 20 // MAX_BROADCAST_BYTES), 1)
+    tasks = max(3 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    slabs = -(-tasks // groups)
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups))  # a query's rows stay together
+    slab = F.pmod(F.xxhash64("chunk_id"), F.lit(slabs))
+    asked = rows.withColumn("tile_", F.explode(F.sequence(group * slabs, group * slabs + slabs - 1))).withColumn("side_", F.lit(0))
+    dealt = vectors.withColumn("tile_", F.explode(F.sequence(slab, slab + (groups - 1) * slabs, F.lit(slabs).cast("long")))).withColumn("side_", F.lit(1))
+    both = asked.unionByName(dealt, allowMissingColumns=True).repartition(groups * slabs, "tile_").sortWithinPartitions("tile_", "side_")
+    sides = {0: [f.name for f in rows.schema], 1: [f.name for f in vectors.schema]}
+
+    def run(batches):
+        tile, waiting, best, chunk_type = None, [], None, None
+        for batch in batches:
+            chunk_type = batch.schema.field("chunk_id").type
+            mark = 2 * batch["tile_"].to_numpy() + batch["side_"].to_numpy()
+            cuts = np.flatnonzero(np.diff(mark, prepend=-1, append=-1)) if len(mark) else []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                here, side = divmod(int(mark[i]), 2)
+                if here != tile:
+                    if best is not None:
+                        yield best.result(chunk_type)
+                    tile, waiting, best = here, [], None
+                piece = batch.slice(i, j - i).select(sides[side])
+                if side == 0:
+                    waiting.append(piece)
+                elif waiting:
+                    best = best or kernel(QueryBlock.of(pa.Table.from_batches(waiting)))
+                    best.scan(piece)
+        if best is not None:
+            yield best.result(chunk_type)
+
+    return both.mapInArrow(run, schema)
+
+
+def scanned(wanted: DataFrame, rows: DataFrame, scope: str, kernel, columns=("embedding",)) -> DataFrame:
+    """``query_id, chunk_id, scope, distance, k``: what ``kernel`` keeps of the index, part by part."""
+    table = few(rows)
+    if table is not None:
+        named = set().union(*(columns_of(json.loads(w)) for w in set(table["where"].to_pylist()) if w is not None))
+    else:
+        rows = materialize(rows, "queries")
+        asked = rows.where("where is not null").select("where").distinct().mapInArrow(filter_names, "name string")
+        named = {r["name"] for r in asked.distinct().collect()}
+    if missing := sorted(named - set(wanted.columns)):
+        raise ValueError(f"the index has no column {missing[0]!r} to filter on")
+    carried = [F.col(c).alias(CARRIED + c) for c in sorted(named)]
+    vectors = wanted.select("chunk_id", F.col(scope).cast("string").alias("scope"), *columns, *carried)
+    types = {f.name: f.dataType.simpleString() for f in [*rows.schema, *vectors.schema]}
+    schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, scope string, distance double, k int"
+    if table is None:
+        return scan_in_tiles(vectors, rows, schema, kernel)
+    scopes = table["scopes"].combine_chunks()
+    if scopes.null_count == 0:  # lets a partitioned index skip all other folders
+        vectors = vectors.where(F.col("scope").isin(scopes.flatten().unique().to_pylist()))
+    return scan_with_broadcast(vectors, table, schema, kernel)
+
+
 def nearest(
     index: DataFrame,
     queries: DataFrame,
@@ -259,20 +332,7 @@ def nearest(
     and its own filter. Ranks are per query, or per query and scope.
     """
     rows = query_rows(queries, k, 1 if exclude_self else 0)
-    wanted = metadata_filter(index, where)
-    parts = []
-    for rows in slices(rows):
-        table = rows.toArrow()
-        own = filter_columns(table["where"].to_pylist(), index.columns)
-        carried = [F.col(c).alias(CARRIED + c) for c in own]
-        vectors = wanted.select("chunk_id", F.col(scope).cast("string").alias("scope"), "embedding", *carried)
-        types = {f.name: f.dataType.simpleString() for f in [*rows.schema, *vectors.schema]}
-        schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, scope string, distance double, k int"
-        scopes = table["scopes"].combine_chunks()
-        if scopes.null_count == 0:  # lets a partitioned index skip all other folders
-            vectors = vectors.where(F.col("scope").isin(scopes.flatten().unique().to_pylist()))
-        parts.append(scan_with_broadcast(vectors, table, per_scope, schema))
-    found = reduce(DataFrame.unionAll, parts)
+    found = scanned(metadata_filter(index, where), rows, scope, lambda block: BestSoFar(block, per_scope))
     if exclude_self:
         found = found.where("cast(query_id as string) <> cast(chunk_id as string)").withColumn("k", F.col("k") - 1)
     return ranked(found, ["query_id", "scope"] if per_scope else ["query_id"])
