@@ -8,8 +8,8 @@ the article. The least density on its path up to the body is the threshold:
 every branch of the page that reaches it gives its own node of greatest sum,
 and the smallest subtree below the body that holds those nodes is the article.
 Elements that never carry article text (menus, forms, scripts and the like) are
-left out before densities are taken, and so are those whose names hint at
-notices, reader comments and the like, unless most of the page's text is theirs.
+left out before densities are taken, and so are reader comments and adverts, and
+elements whose names hint at notices and the like, unless most of the text is theirs.
 
 One map over the table; a page is read once and its tree is dropped at once.
 """
@@ -53,6 +53,12 @@ HINTS = {
     "navigation", "newsletter", "notice", "pagination", "popup", "modal", "promo", "related", "replies", "respond", "share", "sharing",
     "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "search", "contentinfo", "complementary", "alertdialog",
 }
+#: Of these, the words that surely mark reader comments and adverts; what before or after them only tells of a page's state.
+SURE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "comment", "comments", "commentlist", "disqus", "replies",
+    "respond", "sponsor", "sponsored",
+}
+STATES = {"has", "with", "no", "without", "show", "open", "closed", "enabled", "disabled", "allowed", "off"}
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 QUOTE = re.compile("[>\"']")
@@ -65,11 +71,11 @@ class Node:
     __slots__ = ("name", "parts", "parent", "dropped", "marked", "inside", "wraps", "free", "left", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.parts, self.dropped, self.marked, self.inside = name, parent, [], False, False, False
+        self.name, self.parent, self.parts, self.dropped, self.marked, self.inside = name, parent, [], False, None, False
 
 
 def hinted(attributes: str) -> str | None:
-    """"hidden" for an element that is not shown, "marked" for one whose class, id or role has a word of boilerplate."""
+    """"hidden" for an element that is not shown, "sure" or "marked" for one whose class, id or role has a word of boilerplate."""
     if "=" not in attributes:
         return None
     found = None
@@ -78,8 +84,8 @@ def hinted(attributes: str) -> str | None:
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))]
-                if words and (words[0] in HINTS or words[-1] in HINTS):
-                    found = "marked"
+                if words and (words[0] in HINTS or words[-1] in HINTS) and not {words[0], words[-1]} & STATES:
+                    found = "sure" if words[0] in SURE or words[-1] in SURE or found == "sure" else "marked"
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return "hidden"
         elif name == "style" and re.search(r"display\s*:\s*none", value):
@@ -145,7 +151,7 @@ def parse(page: str) -> Node:
             node.inside = body.inside or name in ("article", "main")
             whole = name in ("article", "main")
             node.dropped = name in DROPPED or (hint == "hidden" and not whole) or (name == "header" and not node.inside)
-            node.marked = hint == "marked" and not whole
+            node.marked = hint if hint in ("sure", "marked") and not whole else None
             body.parts.append(node)
             if name not in VOID and not attributes.endswith("/"):
                 standing[name] += 1
@@ -163,11 +169,11 @@ def parse(page: str) -> Node:
 
 
 def without_marked(root: Node) -> Node:
-    """Leave out marked elements that hold less than half of the page's text outside of links.
+    """Leave out marked elements: reader comments and adverts always, others if they hold less than half of the text outside of links.
 
-    Where an article or main element stands elsewhere they go whatever they
-    hold; inside of it a heading of the page stays. If nothing but links would
-    be left, all stay.
+    Where an article or main element stands elsewhere those others go whatever
+    they hold, too; inside of it a heading of the page stays. If nothing but
+    links would be left, all stay.
     """
     kept, order = {}, nodes(root)
     whole = bool(root.wraps & {"article", "main"})
@@ -175,7 +181,7 @@ def without_marked(root: Node) -> Node:
     def goes(p: Node) -> bool:
         if not p.marked or p.wraps & {"article", "main"} or (p.inside and "h1" in p.wraps | {p.name}):
             return False
-        return 2 * p.free < root.free or (whole and not p.inside)
+        return p.marked == "sure" or 2 * p.free < root.free or (whole and not p.inside)
 
     for node in reversed(order):
         kept[id(node)] = [p for p in node.parts if isinstance(p, str) or not goes(p)]

@@ -19,3 +19,21 @@ STORY = "The first paragraph of the story, long enough to count.\nThe second one
 ])
 def test_hints_never_take_most_of_a_page(page, text):
     assert pages.main_text(page) == text
+
+
+PARAGRAPHS = "".join(f"<p>A reader writes sentence number {i}, which is longer than anything in the story itself, and then some more.</p>" for i in range(30))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article>{TEXT}<section class=comments>{PARAGRAPHS}</section></article></body>",
+    f"<body><div class=content>{TEXT}</div><div id=comments>{PARAGRAPHS}</div></body>",
+    f"<body><main>{TEXT}<div class='advert'>{PARAGRAPHS}</div></main></body>",
+    f"<body><div class='post comments-open'>{TEXT}</div><div class='reader-comments'><div class=comment>{PARAGRAPHS}</div></div></body>",
+    f"<body><div class='has-ads'>{TEXT}<div class='ad-slot'>{PARAGRAPHS}</div></div></body>",
+])
+def test_comments_and_adverts_go_however_much_of_the_page_they_are(page):
+    assert pages.main_text(page) == STORY
+
+
+def test_comments_that_are_all_there_is_stay():
+    assert pages.main_text(f"<body><a href=x>home</a><div class=comments>{TEXT}</div></body>") == STORY
