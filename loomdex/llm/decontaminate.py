@@ -95,8 +95,9 @@ def extend(text: np.ndarray, at: np.ndarray, item: np.ndarray, start: np.ndarray
 class Suffixes:
     """Suffixes of a block of items: every 13-word window, and for each item its whole words to extend into."""
 
-    def __init__(self, names: list[str], hashes: list[np.ndarray], window: int):
-        self.names, self.window = sorted(set(names)), window  # texts of one id are one item
+    def __init__(self, names: list[str | None], hashes: list[np.ndarray], window: int):
+        known = set(names)  # texts of one id are one item
+        self.names, self.window = sorted(known - {None}) + [None] * (None in known), window
         place = {name: i for i, name in enumerate(self.names)}
         self.flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         bounds = np.cumsum([0, *map(len, hashes)])
@@ -181,7 +182,7 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
     """Blocks of distinct item texts with their ids, read from Spark one partition at a time."""
     texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     names, hashes, total = [], [], 0
-    for row in texts.where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
+    for row in texts.where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         for w in wd.words(pa.array([row.text]), wd.ALNUM, lower=True):
             h = wd.word_hashes(w) | np.uint64(1)
             if len(h):
@@ -204,9 +205,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     item with words is one window. A word inside any occurrence is hit; a
     document is contaminated if ``one_in`` times its hit words reach its words.
     ``longest`` gives for each item its longest verbatim match from a window on.
-    Null or empty texts have no words and are clean; items without words or id
-    match nothing; repeated items count once by id; repeated rows give repeated
-    rows; an empty benchmark leaves all clean. Other columns are ignored.
+    Null or empty texts have no words and are clean; items without words match
+    nothing; repeated items count once by id, those without an id as one item,
+    null in ``item_ids``; repeated rows give repeated rows; an empty benchmark
+    leaves all clean. Other columns are ignored.
     """
     source = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col("text").cast("string").alias("_text"))
     blocks = item_blocks(benchmark, window, block_words)
@@ -228,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
             F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "item_ids", "longest")])
         # one match for each item, however many blocks its texts lie in: the longest, of equal ones the first
         best = F.transform(F.array_sort("item_ids"), lambda i: F.array_max(F.transform(
-            F.filter("longest", lambda m: m.item == i), lambda m: F.struct(m.words.alias("words"), (-m["at"]).alias("back"), m.alias("match"))))["match"])
+            F.filter("longest", lambda m: m.item.eqNullSafe(i)), lambda m: F.struct(m.words.alias("words"), (-m["at"]).alias("back"), m.alias("match"))))["match"])
         joined = joined.withColumn("longest", best)
         sizes = materialize(sizes.join(joined, "row_id", "left"), "merged")
         found = named.drop("_text").join(sizes.withColumnRenamed("row_id", "_row"), "_row")
