@@ -283,6 +283,7 @@ SELECT * FROM i WHERE index_version IS NULL OR index_version < '2025-06-02'""",
   end_line, tokens, round(n, 6) AS norm FROM kept JOIN kv ON kv.id = kept.chunk_id""",
     "knn_exact": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
     "knn_ann_trained": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
+    "knn_ann_recall": f"WITH {TEXT_QUERIES} SELECT count(*) AS queries, true AS recall_reached FROM tq",
     "knn_tiled": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
     "knn_ann_after_update": f"""WITH {FILES}, {FILE_CHUNKS}, {NORMAL_QUERIES},
 {LIVE}, lt AS (SELECT chunk_id AS id, text FROM live), {vectors('lv', 'lt')}, {vectors('qv', 'nq')},

@@ -9,7 +9,8 @@ from catalog import fixtures as fx
 from loomdex.functions import paths, text
 from loomdex.functions.constants import CODE_MODEL, DEFAULT_IGNORE_RULES, EMBED_BATCH, SNIFF_BYTES
 from loomdex.functions.vectors import hashed_vector
-from loomdex.operators import ann, chunking, dedup, embedding, knn, logs, packing, ranking, requests, tables
+from loomdex.operators import (
+    ann, chunking, dedup, embedding, knn, logs, packing, quantised, ranking, requests, tables)
 from loomdex.plans.cells import CellIndex
 from loomdex.plans.indexer import Indexer
 from loomdex.plans.lexicon import LexicalIndex
@@ -228,7 +229,7 @@ def knn_two_spaces(spark, sf):
     return hit_rows(merged.select("query_id", "chunk_id", F.col("scope").alias("space"), "distance", "space_rank", "rank"))
 
 
-CELLS, PROBES, REFINE = 16, 4, 40
+CELLS, PROBES, REFINE = 16, 4, 400
 
 
 def knn_ann(spark, sf):
@@ -264,6 +265,27 @@ def knn_ann_after_update(spark, sf):
     return hit_rows(searcher.hits(fx.text_queries(spark, sf), k=5).select("query_id", "chunk_id", "space", "distance", "rank"))
 
 
+def recall_of(spark, index, queries, k, cells, probes, refine):
+    """(queries, share of the k nearest that the search by codes finds): hits as near as the k-th nearest count."""
+    centres = materialize(ann.trained_centres(index, cells), "centres")
+    placed = materialize(ann.with_cell(index, centres), "placed")
+    codec = quantised.Codec.of(centres, quantised.learned_books(placed, centres))
+    coded = materialize(quantised.with_codes(placed, codec), "coded")
+    held = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    found = quantised.nearest_by_code(coded, queries, codec, held, k, probes, refine).drop("distance", "rank")
+    found = knn.ranked(quantised.exact_distances(found, coded, queries).withColumn("k", F.lit(k)), ["query_id"])
+    last = knn.nearest(index, queries, k).where(F.col("rank") == k).select("query_id", F.col("distance").alias("bar"))
+    near = found.join(last, "query_id").where(F.col("distance") <= F.col("bar") + 1e-9)
+    return near.groupBy("query_id").agg(F.count("*").alias("near"))
+
+
+def knn_ann_recall(spark, sf):
+    """Ten nearest documents by quantised codes, half of the cells probed: are nine in ten of the true ones found?"""
+    index = fx.doc_vectors(spark, sf).drop("text")
+    near = recall_of(spark, materialize(index, "vectors"), materialize(hashed_queries(spark, sf), "asked"), 10, CELLS, CELLS // 2, 10)
+    return near.agg(F.count("*").alias("queries"), (F.avg("near") >= 9).alias("recall_reached"))
+
+
 def knn_tiled(spark, sf):
     """All vectors as queries, dealt in tiles of queries and vectors as query sets past the broadcast bound are."""
     rows = knn.query_rows(fx.vector_queries(spark, sf), 5, 1)
@@ -487,7 +509,7 @@ QUERIES = [
     file_chunks_fallback, python_chunks, brace_chunks, brace_depth, chunk_ids, outermost_chunks,
     changed_files, file_state_upsert, index_replace_deleted, embed_cache_misses, embed_cache_upsert,
     hashed_embedding, mean_pooling, batch_rows, index_counts, stale_versions, index_full,
-    knn_exact, knn_filtered, knn_two_spaces, knn_ann, knn_ann_trained, knn_ann_after_update, knn_tiled, rerank_lexical, lexical_bm25, hybrid_search, semantic_dedup,
+    knn_exact, knn_filtered, knn_two_spaces, knn_ann, knn_ann_trained, knn_ann_after_update, knn_ann_recall, knn_tiled, rerank_lexical, lexical_bm25, hybrid_search, semantic_dedup,
     context_for_query, search_results, stream_events, context_for_text,
     query_normalise, request_validation, request_replies, event_parse,
     rate_limit_audit, rate_limit_admit, feedback_counts,
