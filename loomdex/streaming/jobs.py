@@ -12,6 +12,8 @@ from loomdex.functions.constants import REQUESTS_PER_MINUTE
 from loomdex.operators.logs import request_rate, signal_counts
 from loomdex.plans.indexer import Indexer, newest_versions
 from loomdex.plans.searcher import Searcher
+from loomdex.session import materialize
+from loomdex.sources.changes import file_versions, project_changes
 from loomdex.sources.requests import number_lines
 
 
@@ -33,6 +35,19 @@ def watch_files(versions: DataFrame, indexer: Indexer, checkpoint: str, once: bo
     return _start(versions, work, checkpoint, once)
 
 
+def watch_project(root: str, indexer: Indexer, checkpoint: str, state: str, suffixes=None, once: bool = False) -> StreamingQuery:
+    """Keep the index fresh from a folder; ``state`` is where the stream keeps its listings.
+
+    Each batch holds what changed since the last one; only those files are read.
+    """
+
+    def work(batch, _):
+        versions = materialize(file_versions(batch, root, suffixes), "versions")
+        indexer.index_incremental(newest_versions(versions), complete=False)
+
+    return _start(project_changes(indexer.spark, root, state), work, checkpoint, once)
+
+
 def answer_requests(lines: DataFrame, searcher: Searcher | Callable[[], Searcher], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Answer a stream of request lines ``[line_no,] value`` into ``out/batch=N``.
 

@@ -1,0 +1,102 @@
+"""A folder as a stream of changes, and decisions on a live request stream."""
+
+import datetime as dt
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomdex import Indexer
+from loomdex.operators import logs
+from loomdex.sources.changes import ChangeReader, project_changes
+from loomdex.streaming import admission, jobs
+
+
+def write(folder, files):
+    for name, content in files.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content if isinstance(content, bytes) else content.encode())
+
+
+def paths(indexer):
+    return sorted((os.path.basename(r["path"]), r["name"]) for r in indexer.store.chunks().collect())
+
+
+def test_the_index_follows_a_folder_and_restarts_replay_nothing(spark, tmp_path):
+    project = tmp_path / "project"
+    write(project, {"a.py": "def one():\n    pass\n", "pkg/_b.md": "text", ".git/c.py": "x = 1", "d.bin": b"\0", "e.py": "def gone():\n    pass\n"})
+    indexer = Indexer(spark, str(tmp_path / "index"))
+
+    def run():
+        jobs.watch_project(str(project), indexer, str(tmp_path / "checkpoint"), str(tmp_path / "state"), once=True).awaitTermination()
+        return paths(indexer)
+
+    assert run() == [("_b.md", "_b.md"), ("a.py", "one"), ("e.py", "gone")]
+    runs = len(indexer.store.commits())
+    assert run() == [("_b.md", "_b.md"), ("a.py", "one"), ("e.py", "gone")] and len(indexer.store.commits()) == runs
+    write(project, {"a.py": "def two():\n    return 2\n", "f.md": "new", "pkg/_b.md": b"bin\0ary"})
+    (project / "e.py").unlink()
+    os.utime(project / "a.py", (2_000_000_000, 2_000_000_000))
+    os.utime(project / "pkg/_b.md", (2_000_000_000, 2_000_000_000))
+    assert run() == [("a.py", "two"), ("f.md", "f.md")]
+    assert len(os.listdir(tmp_path / "state")) <= 2
+
+
+def test_offsets_name_listings_that_give_the_same_rows_again(tmp_path):
+    project, options = tmp_path / "project", {"path": str(tmp_path / "project"), "state": str(tmp_path / "state")}
+    write(project, {f"{i}.py": "x" * i for i in range(5)})
+    reader = ChangeReader(options)
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    assert first == reader.latestOffset() == ChangeReader(options).latestOffset() == {"listing": 1}
+    (project / "1.py").unlink()
+    write(project, {"2.py": "other"})
+    second = ChangeReader(options).latestOffset()
+
+    def rows(a, b):
+        return {(os.path.basename(r[0]), r[4]) for p in ChangeReader(options).partitions(a, b) for r in reader.read(p)}
+
+    assert rows(start, first) == {(f"{i}.py", False) for i in range(5)}
+    assert rows(first, second) == rows(first, second) == {("1.py", True), ("2.py", False)}
+    reader.commit(second)
+    assert ChangeReader(options).latestOffset() == second and os.listdir(options["state"]) == ["listing-2.json"]
+
+
+def test_what_cannot_be_listed_is_not_deleted(tmp_path, monkeypatch):
+    project, options = tmp_path / "project", {"path": str(tmp_path / "project"), "state": str(tmp_path / "state")}
+    write(project, {"a.py": "", "shut/b.py": "", "shut/in/c.py": ""})
+    reader = ChangeReader(options)
+    first = reader.latestOffset()
+    walk = os.walk
+
+    def shut(root, onerror):
+        for folder, subfolders, names in walk(root):
+            if folder.endswith("shut"):
+                subfolders.clear()
+                onerror(OSError(13, "Permission denied", folder))
+            else:
+                yield folder, subfolders, names
+
+    monkeypatch.setattr(os, "walk", shut)
+    assert reader.latestOffset() == first
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_live_decisions_equal_batch_decisions_in_any_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "b", "hot", "hot", "hot"]), start + dt.timedelta(seconds=rng.randrange(0, 600))) for i in range(400)]
+    rows += [(400 + i, "hot", start + dt.timedelta(seconds=30)) for i in range(20)]  # ties
+    log = spark.createDataFrame(rows, "id bigint, key string, ts timestamp")
+    drop, out = str(tmp_path / "drop"), str(tmp_path / "out")
+    log.repartition(5, F.xxhash64("id", F.lit(seed))).write.parquet(drop)
+    end = spark.createDataFrame([(-1, "end", dt.datetime(2100, 1, 1))], log.schema)
+    end.coalesce(1).write.mode("append").parquet(drop)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(drop)
+    decided = admission.admit_stream(stream, "1 hour", "1 minute", 7)
+    decided.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+    got = {(r["id"], r["key"], r["window_start"], r["admitted"]) for r in spark.read.parquet(out).where("id >= 0").collect()}
+    assert got == {(r["id"], r["key"], r["window_start"], r["admitted"]) for r in logs.admit(log, "1 minute", 7).collect()}
+    assert spark.read.parquet(out).where("id >= 0").count() == 420
