@@ -152,6 +152,9 @@ def test_index_and_search_end_to_end(spark, indexer, tmp_path):
     answer = searcher.context("tie a rope", k=3, max_tokens=1000).first()
     assert "Name: tie, Lines: 1-3" in answer["content"] and answer["tokens"] == 12
     assert searcher.context("x", metadata_filter={"type": "class"}).first()["content"] == ""
+    kept = searcher.persist()
+    assert kept.context("tie a rope", k=3, max_tokens=1000).first() == answer
+    kept.unpersist()
     assert [r["event"] for r in searcher.stream_events("rope").orderBy("seq").collect()] == ["chunk", "end"]
 
 
