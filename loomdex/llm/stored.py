@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.session import materialize
 
@@ -14,14 +14,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Spark deletes shuffle files once the driver's collector finds that nothing
     refers to them. A job that stores its steps one after the other asks for
-    that here; otherwise the files of all steps lie on disk together.
+    that here; otherwise the files of all steps lie on disk together. It asks
+    before, too: just after a step its last events may still refer to it.
     """
+    release(df.sparkSession)
     found = materialize(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return found
 
 
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def narrow(df: DataFrame, name: str) -> DataFrame:
     """Store a table of ids and numbers in at most two tasks a core of the cluster.
 

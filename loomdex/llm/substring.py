@@ -33,7 +33,7 @@ WINDOW = 35
 PLACE_BITS = 20
 LAST_PLACE = (1 << PLACE_BITS) - 1
 #: Probes are joined in so many rounds over parts of the hashes (at most 8), so that they never lie on disk together.
-ROUNDS = 2
+ROUNDS = 3
 PART_BITS = 3
 
 
