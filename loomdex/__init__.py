@@ -4,6 +4,7 @@ Every operator is a function from DataFrames to DataFrames; ``plans`` strings
 them together into the ``Indexer`` and ``Searcher`` a user calls.
 """
 
+import importlib
 import sys
 
 from pyspark import cloudpickle
@@ -11,21 +12,20 @@ from pyspark import cloudpickle
 # Task functions travel with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["Indexer", "Searcher", "build_session"]
+__all__ = ["CellIndex", "Indexer", "LexicalIndex", "Searcher", "build_session", "watch_project"]
 __version__ = "0.1.0"
 
+MODULES = {
+    "CellIndex": "loomdex.plans.cells",
+    "Indexer": "loomdex.plans.indexer",
+    "LexicalIndex": "loomdex.plans.lexicon",
+    "Searcher": "loomdex.plans.searcher",
+    "build_session": "loomdex.session",
+    "watch_project": "loomdex.streaming.jobs",
+}
 
-def __getattr__(name):
-    if name == "Indexer":
-        from loomdex.plans.indexer import Indexer
-
-        return Indexer
-    if name == "Searcher":
-        from loomdex.plans.searcher import Searcher
 
-        return Searcher
-    if name == "build_session":
-        from loomdex.session import build_session
-
-        return build_session
-    raise AttributeError(name)
+def __getattr__(name):
+    if name not in MODULES:
+        raise AttributeError(name)
+    return getattr(importlib.import_module(MODULES[name]), name)

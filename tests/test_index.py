@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex import Indexer, Searcher
 from loomdex.functions.constants import CODE_MODEL
-from loomdex.operators import embedding, logs, tables
+from loomdex.operators import chunking, embedding, logs, tables
 from loomdex.operators.ranking import jaccard
 from loomdex.plans import indexer as indexer_module
 from loomdex.plans.cells import CellIndex
@@ -170,6 +170,13 @@ def test_cells_with_all_probes_equal_the_exact_search(spark, indexer, tmp_path):
     assert CellIndex(spark, str(tmp_path / "cells")).vectors.count() == 60
 
 
+def test_a_language_more(spark, tmp_path):
+    more = chunking.BUILT_IN.having(".rs", "rust", [("function_item", r"^(?P<at>(?:pub\s+)?fn\s+(?P<name>\w+))")])
+    indexer = Indexer(spark, str(tmp_path / "index"), languages=more)
+    indexer.index_full(files(spark, {"a.rs": ("pub fn one() {\n  1 // }\n}\nfn two() {}\n", 0)}))
+    assert snapshot(indexer.store.chunks()) == [("a.rs", "function_item", "one", 1, 3), ("a.rs", "function_item", "two", 4, 4)]
+
+
 def test_rerank_and_options(spark, indexer):
     indexer.index_full(files(spark, {**FIRST, "e.md": ("add add add", 0)}))
     searcher = Searcher.of(indexer.store)
