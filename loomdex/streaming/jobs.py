@@ -26,11 +26,12 @@ def watch_files(versions: DataFrame, indexer: Indexer, checkpoint: str, once: bo
     """Keep the index fresh from a stream of file versions ``path, content, mtime``.
 
     Null content deletes a file. A replayed batch finds its files unchanged
-    and adds nothing.
+    and adds nothing. Small runs are put together on the way.
     """
 
     def work(batch, _):
         indexer.index_incremental(newest_versions(batch), complete=False)
+        indexer.store.compact()
 
     return _start(versions, work, checkpoint, once)
 
@@ -44,6 +45,7 @@ def watch_project(root: str, indexer: Indexer, checkpoint: str, state: str, suff
     def work(batch, _):
         versions = materialize(file_versions(batch, root, suffixes), "versions")
         indexer.index_incremental(newest_versions(versions), complete=False)
+        indexer.store.compact()
 
     return _start(project_changes(indexer.spark, root, state), work, checkpoint, once)
 
