@@ -281,6 +281,10 @@ FROM vchunks GROUP BY ROLLUP (space)""",
 SELECT * FROM i WHERE index_version IS NULL OR index_version < '2025-06-02'""",
     "index_full": f"""WITH {TEXT_INDEX} SELECT chunk_id, path, space, CASE space WHEN 'code' THEN 'codebert-base' ELSE 'all-MiniLM-L6-v2' END AS model,
   end_line, tokens, round(n, 6) AS norm FROM kept JOIN kv ON kv.id = kept.chunk_id""",
+    "run_metrics": """SELECT 1 AS run, true AS "full", count(*) AS files, 0::BIGINT AS deleted, count(*) AS chunks
+FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+UNION ALL SELECT 2, false, count(*) FILTER (coalesce(toxic, 0) = 0), count(*) FILTER (toxic = 1 AND quality IS NOT NULL), count(*) FILTER (coalesce(toxic, 0) = 0)
+FROM documents LEFT JOIN labels USING (doc_id)""",
     "knn_exact": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
     "knn_ann_trained": f"WITH {VPAIRS} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ({top('pairs', 5)})",
     "knn_ann_recall": f"WITH {TEXT_QUERIES} SELECT count(*) AS queries, true AS recall_reached FROM tq",

@@ -205,6 +205,16 @@ def index_full(spark, sf):
     return rounded(index_build(spark, sf).vectors().select("chunk_id", "path", "space", "model", "end_line", "tokens", "norm"), "norm")
 
 
+def run_metrics(spark, sf):
+    """What a full and an incremental run report, as the store lists them."""
+    first, second = file_drops(spark, sf)
+    indexer = Indexer(spark, scratch_dir(spark))
+    indexer.index_full(first)
+    indexer.index_incremental(second, complete=False)
+    commits = [tuple(c)[:5] for c in indexer.store.commits()]  # one small row a run
+    return spark.createDataFrame(commits, "run int, full boolean, files bigint, deleted bigint, chunks bigint")
+
+
 # --- search ----------------------------------------------------------------
 
 
@@ -508,7 +518,7 @@ QUERIES = [
     scan_suffix_filter, ignore_rules, text_sniff, bad_files, file_lookup, file_route_code_text,
     file_chunks_fallback, python_chunks, brace_chunks, brace_depth, chunk_ids, outermost_chunks,
     changed_files, file_state_upsert, index_replace_deleted, embed_cache_misses, embed_cache_upsert,
-    hashed_embedding, mean_pooling, batch_rows, index_counts, stale_versions, index_full,
+    hashed_embedding, mean_pooling, batch_rows, index_counts, stale_versions, index_full, run_metrics,
     knn_exact, knn_filtered, knn_two_spaces, knn_ann, knn_ann_trained, knn_ann_after_update, knn_ann_recall, knn_tiled, rerank_lexical, lexical_bm25, hybrid_search, semantic_dedup,
     context_for_query, search_results, stream_events, context_for_text,
     query_normalise, request_validation, request_replies, event_parse,
