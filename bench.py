@@ -22,6 +22,7 @@ from catalog import queries as catalogue
 from loomdex.functions.vectors import hashed_vector
 from loomdex.operators import ann, knn, packing, quantised
 from loomdex.plans.indexer import Indexer
+from loomdex.plans.lexicon import LexicalIndex
 from loomdex.plans.searcher import Searcher
 from loomdex.session import build_session, materialize, scratch_dir
 
@@ -29,7 +30,7 @@ HEADLINE = [
     "scan_suffix_filter", "ignore_rules", "text_sniff", "file_chunks_fallback", "python_chunks", "brace_chunks",
     "outermost_chunks", "changed_files", "embed_cache_misses", "embed_cache_upsert", "hashed_embedding",
     "mean_pooling", "batch_rows", "index_full", "knn_exact", "knn_filtered", "knn_two_spaces", "knn_ann",
-    "knn_tiled", "rerank_lexical", "lexical_bm25", "semantic_dedup", "context_for_query", "search_results", "stream_events",
+    "knn_tiled", "rerank_lexical", "semantic_dedup", "context_for_query", "search_results", "stream_events",
     "context_for_text", "request_validation", "request_replies", "rate_limit_audit", "rate_limit_admit",
     "feedback_counts",
 ]
@@ -64,6 +65,9 @@ def rates(spark, sf) -> dict:
     n = asked.count()
     packed = timed(lambda: run(searcher.context(asked)))
 
+    lexicon = LexicalIndex.of(indexer.store, scratch_dir(spark))
+    by_words = timed(lambda: run(lexicon.search(asked, 10)))
+
     vectors = materialize(fx.vector_chunks(spark, sf), "vectors")
     queries = fx.vector_queries(spark, sf)
     m = queries.count()
@@ -100,6 +104,7 @@ def rates(spark, sf) -> dict:
         "incremental_share_reindexed": round(report["chunks"] / chunks, 3),
         "incremental_time_vs_full": round(incremental / full, 3),
         "text_context_queries_per_sec": round(n / packed, 1),
+        "lexical_queries_per_sec": round(n / by_words, 1),
         "exact_knn_context_queries_per_sec": round(m / exact_time, 1),
         "single_query_ms": round(1000 * single),
         "single_query_persisted_ms": round(1000 * single_kept),
