@@ -6,8 +6,8 @@ that agree on a band share a bucket. In the first rounds every member of a bucke
 compared with one leader of the bucket only, if it is not in the leader's
 component yet; that ties groups of any size with a few pairs a member. The last
 round looks at the pairs of a bucket that are still in different components;
-there large buckets are cut into blocks of sets of about one size, and pairs of blocks
-whose sizes allow a link are compared and verified in NumPy, so that links come out and not pairs. Together the rounds test every pair of every
+there large buckets are cut into blocks of sets of about one size, apart for the largest
+component and the rest, and pairs of blocks whose sizes and components allow a link are compared and verified in NumPy, so that links come out and not pairs. Together the rounds test every pair of every
 bucket that is not already tied.
 
 A test reads the signatures batch by batch. After each batch the pair is
@@ -198,6 +198,41 @@ def block_links(threshold: float, batch: int, miss: float, rows: int, percent: i
     return run
 
 
+def meetings(rest: DataFrame, block: int) -> DataFrame:
+    """Members of buckets (bucket, band, set, component, _class), once for each pair of blocks in which they meet others.
+
+    The members of a bucket's largest component are tied to each other already: their blocks
+    meet those of the other members only. A bucket of near copies with a few strangers
+    so makes a few rows a copy, and not one for each block of copies.
+    """
+    parts = narrow(rest.groupBy("bucket", "component").agg(F.count("*").alias("_n")), "shares")
+    largest = narrow(parts.groupBy("bucket").agg(F.max_by("component", F.struct("_n", "component")).alias("_top")), "largest")
+    rest = rest.join(largest, "bucket").withColumn("_out", (F.col("component") != F.col("_top")).cast("int"))
+    rest = narrow(rest.drop("_top"), "sided")
+    blocks = [F.ceil(F.count(F.when(F.col("_out") == out, 1)) / block).cast("int").alias(f"_b{out}") for out in (0, 1)]
+    counts = narrow(rest.groupBy("bucket", "_class").agg(*blocks), "counts")
+    for step in (-1, 0, 1):
+        near = counts.select("bucket", (F.col("_class") - step).alias("_class"), *[F.col(f"_b{out}").alias(f"_n{step + 1}{out}") for out in (0, 1)])
+        rest = rest.join(near, ["bucket", "_class"], "left")
+    # even numbers are blocks of the largest component
+    own = F.pmod(F.xxhash64("set"), F.when(F.col("_out") == 1, F.col("_n11")).otherwise(F.col("_n10")))
+    rest = narrow(rest.withColumn("_mine", (2 * own + F.col("_out")).cast("int")), "dealt")
+
+    def meeting(step: int, out: int) -> Column:
+        n = F.coalesce(F.col(f"_n{step + 1}{out}"), F.lit(0))
+        met = (n > 0) if out else (n > 0) & (F.col("_out") == 1)
+        others = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(step).alias("step"), (2 * i + out).alias("other")))
+        return F.when(met, others).otherwise(F.array().cast("array<struct<step:int,other:int>>"))
+
+    meets = F.concat(*[meeting(step, out) for step in (-1, 0, 1) for out in (0, 1)])
+    step, other = F.col("_meets.step"), F.col("_meets.other")
+    return rest.withColumn("_meets", F.explode(meets)).select(
+        "bucket", "band", "set", "component", (F.col("_class") + F.least(step, F.lit(0))).alias("_low"), F.abs(step).alias("_up"),
+        F.when(step > 0, F.col("_mine")).when(step < 0, other).otherwise(F.least("_mine", other)).alias("_i"),
+        F.when(step > 0, other).when(step < 0, F.col("_mine")).otherwise(F.greatest("_mine", other)).alias("_j"),
+        F.when(step != 0, -step).otherwise(F.signum(F.col("_mine") - other).cast("int")).alias("side"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough."""
     one = sets.select(F.col("set").alias("a"), F.col("hashes").alias("_ha"))
@@ -317,24 +352,8 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), k: int = WORDS,
     # sets that can link differ in size by the threshold at most, so by one size class: others never meet
     sizes = classes.select("set", F.floor(F.log("n_shingles") / -log(min(threshold, 0.99))).cast("int").alias("_class"))
     rest = narrow(placed.where("n > 2").join(sizes, "set"), "rest")
-    counts = narrow(rest.groupBy("bucket", "_class").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "counts")
-    for step in (-1, 0, 1):
-        near = counts.select("bucket", (F.col("_class") - step).alias("_class"), F.col("_blocks").alias(f"_n{step + 1}"))
-        rest = rest.join(near, ["bucket", "_class"], "left")
-    rest = narrow(rest.withColumn("_mine", F.pmod(F.xxhash64("set"), F.col("_n1")).cast("int")), "dealt")
     sets = sets_of(rest.select("set").distinct(), sets)
-
-    def meeting(step: int) -> Column:
-        others = F.transform(F.sequence(F.lit(0), F.col(f"_n{step + 1}") - 1), lambda i: F.struct(F.lit(step).alias("step"), i.alias("other")))
-        return F.coalesce(others, F.array().cast("array<struct<step:int,other:int>>"))
-
-    meets = F.concat(*map(meeting, (-1, 0, 1)))
-    step, other = F.col("_meets.step"), F.col("_meets.other")
-    paired = rest.withColumn("_meets", F.explode(meets)).select(
-        "bucket", "band", "set", "component", (F.col("_class") + F.least(step, F.lit(0))).alias("_low"), F.abs(step).alias("_up"),
-        F.when(step > 0, F.col("_mine")).when(step < 0, other).otherwise(F.least("_mine", other)).alias("_i"),
-        F.when(step > 0, other).when(step < 0, F.col("_mine")).otherwise(F.greatest("_mine", other)).alias("_j"),
-        F.when(step != 0, -step).otherwise(F.signum(F.col("_mine") - other).cast("int")).alias("side"))
+    paired = meetings(rest, block)
     last = paired.join(classes.select("set", "signature"), "set").join(sets, "set").groupBy("bucket", "_low", "_up", "_i", "_j").applyInArrow(
         block_links(threshold, batch, miss, rows, percent), "a long, b long")
     last = narrow(last, "links")

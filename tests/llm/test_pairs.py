@@ -68,6 +68,22 @@ def test_large_group_of_near_copies_and_mixed_buckets(spark):
     assert Counter(map(tuple, minhash.near_duplicates(docs, block=16).collect())) == expected_near(rows)
 
 
+def test_members_of_the_largest_component_do_not_meet_each_other(spark):
+    rows = [(1, 0, i, 0 if i < 900 else i, i % 2) for i in range(910)]
+    rest = spark.createDataFrame(rows, "bucket long, band int, set long, component long, _class int")
+    met = minhash.meetings(rest, 10).collect()
+    assert len(met) < 4 * 900 + 10 * 4 * 60  # a block of strangers a class and copy, all blocks a stranger
+    groups = {}
+    for r in met:
+        groups.setdefault((r["_low"], r["_up"], r["_i"], r["_j"]), []).append((r["side"], r["set"]))
+    pairs = Counter()
+    for group in groups.values():
+        pairs.update({(min(a, b), max(a, b)) for s, a in group if s <= 0 for t, b in group if t >= 0 and a != b})
+    wanted = {(a, b) for b in range(900, 910) for a in range(b)}
+    assert wanted <= pairs.keys() and max(pairs[p] for p in wanted) == 1
+    assert not any(b < 900 for _, b in pairs)
+
+
 def test_no_documents_no_rows(no_docs):
     assert minhash.near_duplicates(no_docs).collect() == [] and minhash.deduplicated(no_docs).collect() == []
     assert substring.without_repeats(no_docs).collect() == []
