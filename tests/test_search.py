@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,22 @@ def test_more_centres_than_once_were_kept(spark):
     placed = ann.with_cell(points.where("chunk_id >= '04990'"), centres)
     assert all(abs(int(r.cell) - int(r.chunk_id)) <= 1 for r in placed.collect())
     assert ann.trained_centres(points, 1).count() == 1
+
+
+def test_copies_of_a_vector_are_not_all_held_at_one_time(monkeypatch):
+    monkeypatch.setattr(knn, "PAIRS_AT_ONCE", 500, raising=False)
+    monkeypatch.setattr(knn, "EXACT_AT_ONCE", 200)
+    held, offer = [], knn.BestSoFar.offer
+    monkeypatch.setattr(knn.BestSoFar, "offer", lambda self, frames: (held.append(sum(map(len, frames))), offer(self, frames))[1])
+    asked = [[1.0, 0.1 * i] for i in range(40)]
+    table = pa.table({
+        "query_id": pa.array(range(40)), "embedding": pa.array(asked, pa.list_(pa.float32())), "k": pa.array([3] * 40, pa.int32()),
+        "scopes": pa.nulls(40, pa.list_(pa.string())), "where": pa.nulls(40, pa.string())})
+    best = knn.BestSoFar(knn.QueryBlock.of(table), False)
+    vectors = [[1.0, 2.0]] * 900 + [[1.0, 0.0]] * 100  # ids fall, so that the last ones win
+    best.scan(pa.RecordBatch.from_pydict({
+        "chunk_id": pa.array(range(1000, 0, -1)), "scope": pa.array(["text"] * 1000), "embedding": pa.array(vectors, pa.list_(pa.float32()))}))
+    assert max(held) <= 700
+    found = best.result(pa.int64()).to_pandas().groupby("query_id")["chunk_id"].apply(sorted)
+    near = {q: 1 if np.dot([1, 0], v) / np.hypot(*v) > np.dot([1, 2], v) / np.hypot(1, 2) / np.hypot(*v) else 101 for q, v in enumerate(asked)}
+    assert {q: ids for q, ids in found.items()} == {q: [n, n + 1, n + 2] for q, n in near.items()}
