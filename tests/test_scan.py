@@ -1,10 +1,13 @@
+import hashlib
 import os
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from loomdex.functions import paths
+from loomdex.functions import paths, vectors
 from loomdex.functions.text import count_tokens, normalise_query
 from loomdex.functions.vectors import hashed_vector
 from loomdex.operators.filters import metadata_filter
@@ -164,3 +167,19 @@ def test_metadata_filter(spark, where, expected):
 def test_unknown_filter_operator(spark):
     with pytest.raises(ValueError):
         metadata_filter(spark.range(1), {"$not": []})
+
+
+def test_tokens_are_counted_in_batches_and_few_hashes_remembered(monkeypatch):
+    monkeypatch.setattr(vectors, "REMEMBERED", 5)
+    vectors.hashes.clear()
+    texts = [b"a b\ta\nc\x0bd\x0ce\rf", None, b"", b" \n ", b"x\x00 \x1c y\xc2\xa0z " * 200, b"long" * 100, b"bad \xff \xed\xa0\x80"] * 30
+    counts = vectors.token_counts(pa.array(texts, pa.binary()), 8).to_pylist()
+    for text, row in zip(texts, counts):
+        if text is None:
+            assert row is None
+            continue
+        expected = [0.0] * 8
+        for token in re.findall(rb"[^ \t\n\x0b\x0c\r]+", text.replace(b"\xff", b"\xef\xbf\xbd").replace(b"\xed\xa0\x80", b"\xef\xbf\xbd")):
+            expected[int(hashlib.md5(token).hexdigest()[:8], 16) % 8] += 1
+        assert row == expected
+    assert len(vectors.hashes) <= 5 and max(map(len, vectors.hashes)) <= vectors.LONGEST
