@@ -302,3 +302,53 @@ def test_copies_of_a_vector_are_not_all_held_at_one_time(monkeypatch):
     found = best.result(pa.int64()).to_pandas().groupby("query_id")["chunk_id"].apply(sorted)
     near = {q: 1 if np.dot([1, 0], v) / np.hypot(*v) > np.dot([1, 2], v) / np.hypot(1, 2) / np.hypot(*v) else 101 for q, v in enumerate(asked)}
     assert {q: ids for q, ids in found.items()} == {q: [n, n + 1, n + 2] for q, n in near.items()}
+
+
+def test_vectors_move_once_for_as_many_queries_as_a_task_holds(spark, monkeypatch):
+    index, vectors, _ = make_index(spark)
+    queries, asked = make_queries(spark)
+    monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 5)
+    read = spark.sparkContext.accumulator(0)
+
+    class Counting(knn.BestSoFar):
+        def scan(self, batch):
+            read.add(batch.num_rows)
+            super().scan(batch)
+
+    rows = index.select("chunk_id", F.col("space").alias("scope"), "embedding")
+    schema = "query_id bigint, chunk_id string, scope string, distance double, k int"
+    found = knn.scan_in_tiles(rows, knn.query_rows(queries, 7, 0), schema, lambda block: Counting(block, False))
+    brute.same(knn.ranked(found, ["query_id"]).collect(), brute.nearest(vectors, asked, 7))
+    assert read.value == len(vectors)
+    monkeypatch.setattr(knn, "GROUP_HITS", 50)  # and with many groups
+    brute.same(knn.nearest(index, queries, 7).collect(), brute.nearest(vectors, asked, 7))
+
+
+def test_small_strokes_find_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, asked = rng.normal(size=(700, 8)).astype(np.float32), rng.normal(size=(33, 8)).astype(np.float32)
+    monkeypatch.setattr(knn, "ROWS_AT_ONCE", 64)
+    needed = np.full(33, 2.0)
+    needed[:5] = -np.inf
+    got = {(int(a), int(b)) for r, q in knn.reaching(rows, asked, needed, 10, 0.0) for a, b in zip(r, q)}
+    sims = rows @ asked.T
+    assert {p for p in got if p[1] >= 5} == {(a, b) for a, b in zip(*np.nonzero(sims >= 2)) if b >= 5}
+    assert all({(int(r), q) for r in np.argsort(-sims[:, q])[:10]} <= got for q in range(5))
+    mask = rng.random((37, 11)) < 0.03
+    assert {tuple(map(int, p)) for p in zip(*knn.pairs_in(mask))} == {tuple(map(int, p)) for p in zip(*np.nonzero(mask))}
+
+
+def test_the_budget_is_applied_before_texts_move(spark):
+    rows = [(i, f"t{i}", 1 + i % 4, f"p{i}") for i in range(40)]
+    index = spark.createDataFrame(rows, "chunk_id int, text string, tokens bigint, path string")
+    hits = spark.createDataFrame([(q, (7 * q + r) % 45, 0.1 * r, r) for q in range(20) for r in range(1, 6)], "query_id int, chunk_id int, distance double, rank int")
+
+    def same(index):
+        plain, quick = packing.pack(packing.fetch_chunks(hits, index), 8), packing.fetch_packed(hits, index, 8)
+        names = sorted(plain.columns)
+        assert sorted(quick.columns) == names and sorted(quick.select(names).collect()) == sorted(plain.select(names).collect())
+        return quick
+
+    assert "Window" not in same(index)._jdf.queryExecution().optimizedPlan().toString()
+    twice = index.unionByName(index.where("chunk_id = 9").withColumns({"text": F.lit("other"), "tokens": F.lit(0).cast("bigint")}))
+    assert packing.fetch_packed(hits, twice, 8).count() == same(index).count() + hits.where("chunk_id = 9").count()
