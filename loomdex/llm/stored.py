@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from loomdex.session import materialize
+from loomdex.session import materialize, release
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -23,11 +21,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def release(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def narrow(df: DataFrame, name: str) -> DataFrame:
     """Store a table of ids and numbers in at most two tasks a core of the cluster.
 
